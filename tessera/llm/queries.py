@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, exact_dedup, packing, secret_scan, simhash, token_files
+from tessera.llm import ann, bpe, exact_dedup, packing, pii, secret_scan, simhash, token_files, toxicity, warc
 from tessera.llm.common import table
 
 END_ID_FILES, END_ID_PACKING = 2, 1
@@ -35,21 +35,35 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages"))))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), trains=lambda key: ~toxicity.held_out(key))
+    return scores.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = packing.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID_PACKING)
     return packing.packed_pieces(tokens)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_mih_neighbours, op3_byte_bpe, op4_exact_dedup, op5_secrets, op8_simhash, op10_packing)
+    f.__name__: f for f in (op1_token_files, op2_mih_neighbours, op3_byte_bpe, op4_exact_dedup, op5_secrets, op6_warc_revisits, op7_pii, op8_simhash, op9_toxicity, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc_revisits": warc.ORACLE,
     "op4_exact_dedup": """
         WITH n AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256

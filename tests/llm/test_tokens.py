@@ -1,6 +1,7 @@
 """Operators 1, 3 and 10 against the plain library on whole texts."""
 
 import base64
+import functools
 import hashlib
 import zlib
 
@@ -30,11 +31,15 @@ def want_ids(rows, end):
     return {(k, text): t.encode(text or "", add_special_tokens=False).ids + [end] for k, text in rows}
 
 
+@functools.cache
+def encoders():
+    return SegmentEncoder(PATH), plain()
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab Z1.'s\n\t  \x1cé东́-<|>endoftx")), max_size=60))
 def test_segments_equal_whole_text(text):
-    enc = test_segments_equal_whole_text.__dict__.setdefault("enc", SegmentEncoder(PATH))
-    ref = test_segments_equal_whole_text.__dict__.setdefault("ref", plain())
+    enc, ref = encoders()
     assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == ref.encode(text, add_special_tokens=False).ids
 
 
