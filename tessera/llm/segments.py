@@ -8,14 +8,38 @@ encoded one by one with the library and the ids concatenated, and repeated piece
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import struct
 
 import numpy as np
 
-#: Characters of cached segments before the cache starts anew; bounds a worker's memory.
-CACHE_CHARS = 3_000_000
+#: Entries of a generation of the cache; two generations are held, which bounds a worker's memory.
+CACHE_SEGMENTS = 250_000
+#: Longer segments are encoded anew each time.
+CACHE_LENGTH = 48
+#: Characters encoded in one call.
+CALL_CHARS = 100_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Punctuation that is a token sequence of its own between a run of letters and a segment's end.
+_MARKS = frozenset(".,;:!?)\"")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The printable stand-ins of the byte-level alphabet: visible bytes for themselves, others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_BYTE_CHARS = _byte_characters()
+_SPACE = _BYTE_CHARS[0x20]
+
+
+@functools.cache
+def _packers(n: int, kind: str) -> struct.Struct:
+    return struct.Struct(f"<{n}{kind}")
 
 
 class SegmentEncoder:
@@ -29,45 +53,100 @@ class SegmentEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # the strings of special tokens in a text are ordinary text
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._after_space: dict[str, bytes] = {}
-        self._as_is: dict[str, bytes] = {}
-        self._chars = 0
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        # a byte-level token has one character to a byte
+        self._bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._marks = {m: self._ids(m).tobytes() for m in _MARKS}
 
     def one(self, token_id: int) -> bytes:
         return np.array([token_id], self.dtype).tobytes()
 
-    def _learn(self, segments: list[str], cache: dict[str, bytes], prefix: str) -> None:
-        found = self.tokenizer.encode_batch([prefix + s for s in segments], add_special_tokens=False)
-        for s, e in zip(segments, found):
-            cache[s] = np.array(e.ids, self.dtype).tobytes()
-            self._chars += len(s) + 20
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _together(self, words: list[str], known: dict[str, bytes]) -> None:
+        """Encode words, each after a space, in a few calls, and cut the ids where the words end."""
+        at, held = 0, 0
+        for k, w in enumerate(words):
+            held += len(w) + 1
+            if held >= CALL_CHARS or k == len(words) - 1:
+                some, at, held = words[at : k + 1], k + 1, 0
+                ids = self._ids(" " + " ".join(some))
+                lengths = np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in some), np.int64, len(some))
+                cuts = ((np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(lengths + 1)) + 1) * self.dtype.itemsize).tolist()
+                raw, start = ids.tobytes(), 0
+                for word, cut in zip(some, cuts):
+                    known[word] = raw[start:cut]
+                    start = cut
+
+    def _learn(self, segments: set[str]) -> dict[str, bytes]:
+        """Encode segments that follow a space; returns the long ones, which aren't kept."""
+        known, old, marks = self._known, self._old, _MARKS
+        seen = segments & old.keys()
+        known.update(zip(seen, map(old.__getitem__, seen)))
+        segments -= seen
+        # a word before a mark is encoded once for all marks
+        marked = [s for s in segments if s[-1] in marks and s[:-1].isalpha() and len(s) <= CACHE_LENGTH]
+        fresh = segments.difference(marked)
+        words = {s[:-1] for s in marked}.difference(known, fresh)
+        again = words & old.keys()
+        known.update(zip(again, map(old.__getitem__, again)))
+        fresh |= words - again
+        long_ = {s for s in fresh if len(s) > CACHE_LENGTH}
+        fresh -= long_
+        mixed = [w for w in fresh if not w.isalpha()]
+        fresh.difference_update(mixed)
+        tokenize = self.tokenizer.model.tokenize
+        for w in fresh:  # a space and letters are one pre-token: the model alone is asked
+            ids = [t.id for t in tokenize(_SPACE + w if w.isascii() else _SPACE + w.encode().decode("latin-1").translate(_BYTE_CHARS))]
+            known[w] = _packers(len(ids), self.dtype.char).pack(*ids)
+        self._together(mixed, known)
+        once: dict[str, bytes] = {}
+        self._together(list(long_), once)
+        mark = self._marks
+        for s in marked:
+            known[s] = known[s[:-1]] + mark[s[-1]]
+        return once
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self._chars > CACHE_CHARS:
-            self._after_space.clear()
-            self._as_is.clear()
-            self._chars = 0
-        plans, new, new_as_is = [], set(), set()
-        after, as_is = self._after_space, self._as_is
-        for text in texts:
-            parts = text.split(" ")
-            unknown = set(parts[1:]).difference(after)
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in unknown) or parts[0][-1:].isspace() or (len(parts) > 1 and not parts[0]):
-                parts = _CUT.split(text)
-                new_as_is.update(p for p in parts if p not in as_is)
-                plans.append((None, parts))
-            else:
-                new |= unknown
-                if parts[0] not in as_is:
-                    new_as_is.add(parts[0])
-                plans.append((parts[0], parts[1:]))
-        self._learn(list(new), after, " ")
-        self._learn(list(new_as_is), as_is, "")
-        return [
-            b"".join([as_is[p] for p in rest]) if first is None else as_is[first] + b"".join([after[p] for p in rest])
-            for first, rest in plans
-        ]
+        parts = [text.split(" ") for text in texts]
+        known = self._known
+        unknown = set().union(*parts).difference(known)
+        odd = {w for w in unknown if w.strip() != w or not w}
+        once = self._learn(unknown - odd if odd else unknown)
+        out = []
+        for text, rest in zip(texts, parts):
+            first = rest[0]
+            if odd and not odd.isdisjoint(rest):
+                if rest == [""]:
+                    out.append(b"")
+                elif first in odd and first and not first[-1].isspace() and odd.isdisjoint(rest[1:]):
+                    out.append(self._ids(first).tobytes() + b"".join([once[w] if w in once else known[w] for w in rest[1:]]))
+                else:
+                    out.append(self._with_runs(text, once))
+                continue
+            rest[0] = ""
+            known[""] = self._ids(first).tobytes()
+            try:
+                out.append(b"".join(map(known.__getitem__, rest)))
+            except KeyError:
+                out.append(b"".join([once[w] if w in once else known[w] for w in rest]))
+        known.pop("", None)
+        if len(known) > CACHE_SEGMENTS:
+            self._old, self._known = known, {}
+        return out
+
+    def _with_runs(self, text: str, once: dict[str, bytes]) -> bytes:
+        """A text with runs of white space: only single spaces between words are cut at."""
+        out, known = [], self._known
+        for piece in _CUT.split(text):
+            word = piece[1:] if piece[:1] == " " else ""
+            found = (known.get(word) or once.get(word)) if word else None
+            out.append(self._ids(piece).tobytes() if found is None else found)
+        return b"".join(out)
 
 
 _encoders: dict[str, SegmentEncoder] = {}
@@ -80,7 +159,7 @@ def encoder(path: str) -> SegmentEncoder:
     return _encoders[path]
 
 
-def encoded_batches(batches, path: str, end_id: int, id_name: str = "_id", text_name: str = "_text", step: int = 256):
+def encoded_batches(batches, path: str, end_id: int, id_name: str = "_id", text_name: str = "_text", step: int = 500):
     """(ids of rows, encoder, encoded texts with the end id) for each few hundred rows of Arrow batches."""
     enc = encoder(path)
     end = enc.one(end_id)
