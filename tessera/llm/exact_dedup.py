@@ -74,9 +74,10 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash
 def duplicate_groups(rows: DataFrame) -> DataFrame:
     """Each row of ``hashed`` with keep_id, group_size and kept."""
     groups = rows.where("not alone").groupBy("sha").agg(F.max("_id").alias("g_id"), F.count("*").alias("g_size")).where("g_size > 1")
-    joined = rows.withColumn("key", F.when(~F.col("alone"), F.col("sha"))).join(groups.withColumnRenamed("sha", "g_sha"), F.col("key") == F.col("g_sha"), "left")
+    joined = rows.where("not alone").join(groups.withColumnRenamed("sha", "g_sha"), F.col("sha") == F.col("g_sha"), "left")
+    both = joined.unionByName(rows.where("alone"), allowMissingColumns=True)  # rows alone with their prefix pass by the join
     keep = F.when(F.col("g_size").isNotNull(), F.col("g_id")).otherwise(F.col("_id"))
-    return joined.select("_row", "_id", "sha", keep.alias("keep_id"), F.coalesce("g_size", F.lit(1).cast("long")).alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"))
+    return both.select("_row", "_id", "sha", keep.alias("keep_id"), F.coalesce("g_size", F.lit(1).cast("long")).alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
