@@ -9,6 +9,7 @@ encoded one by one with the library and the ids concatenated, and repeated piece
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 import struct
@@ -22,6 +23,8 @@ CACHE_LENGTH = 48
 #: Characters encoded in one call.
 CALL_CHARS = 100_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Words, runs of marks and single line ends: where a segment is made of these alone, each is a pre-token of its own.
+_PARTS = re.compile(r"[^\W\d_]+|[.,;:!?*#%&$)\"]+|\n(?!\s)")
 #: Punctuation that is a token sequence of its own between a run of letters and a segment's end.
 _MARKS = frozenset(".,;:!?)\"")
 
@@ -59,7 +62,7 @@ class SegmentEncoder:
         self._bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-        self._marks = {m: self._ids(m).tobytes() for m in _MARKS}
+        self._bare: dict[str, bytes] = {}
 
     def one(self, token_id: int) -> bytes:
         return np.array([token_id], self.dtype).tobytes()
@@ -88,10 +91,17 @@ class SegmentEncoder:
         seen = segments & old.keys()
         known.update(zip(seen, map(old.__getitem__, seen)))
         segments -= seen
-        # a word before a mark is encoded once for all marks
-        marked = [s for s in segments if s[-1] in marks and s[:-1].isalpha() and len(s) <= CACHE_LENGTH]
-        fresh = segments.difference(marked)
-        words = {s[:-1] for s in marked}.difference(known, fresh)
+        # a word before marks is encoded once for all of them
+        marked = []
+        for s in segments:
+            if s[-1] in marks and s[:-1].isalpha() and len(s) <= CACHE_LENGTH:
+                marked.append((s, [s[:-1], s[-1]]))
+            elif not s.isalpha() and len(s) <= CACHE_LENGTH:
+                parts = _PARTS.findall(s)
+                if parts and parts[0].isalpha() and "".join(parts) == s:
+                    marked.append((s, parts))
+        fresh = segments.difference([s for s, _ in marked])
+        words = {parts[0] for _, parts in marked}.difference(known, fresh)
         again = words & old.keys()
         known.update(zip(again, map(old.__getitem__, again)))
         fresh |= words - again
@@ -99,18 +109,30 @@ class SegmentEncoder:
         fresh -= long_
         mixed = [w for w in fresh if not w.isalpha()]
         fresh.difference_update(mixed)
-        tokenize = self.tokenizer.model.tokenize
-        for w in fresh:  # a space and letters are one pre-token: the model alone is asked
-            ids = [t.id for t in tokenize(_SPACE + w if w.isascii() else _SPACE + w.encode().decode("latin-1").translate(_BYTE_CHARS))]
-            known[w] = _packers(len(ids), self.dtype.char).pack(*ids)
+        one = self._pre_token
+        for w in fresh:
+            known[w] = one(w, _SPACE)
         self._together(mixed, known)
         once: dict[str, bytes] = {}
         self._together(list(long_), once)
-        mark = self._marks
-        for s in marked:
-            known[s] = known[s[:-1]] + mark[s[-1]]
+        bare = self._bare
+        if len(bare) > CACHE_SEGMENTS:
+            bare.clear()
+        for s, (word, *rest) in marked:
+            out = known[word]
+            for p in rest:
+                found = bare.get(p)
+                if found is None:
+                    found = bare[p] = one(p, "") if p.isalpha() else self._ids(p).tobytes()
+                out += found
+            known[s] = out
         return once
 
+    def _pre_token(self, word: str, before: str) -> bytes:
+        """Letters, after a space or not, are one pre-token: the model alone is asked."""
+        ids = [t.id for t in self.tokenizer.model.tokenize(before + word if word.isascii() else before + word.encode().decode("latin-1").translate(_BYTE_CHARS))]
+        return _packers(len(ids), self.dtype.char).pack(*ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [text.split(" ") for text in texts]
         known = self._known
@@ -155,6 +177,7 @@ _encoders: dict[str, SegmentEncoder] = {}
 def encoder(path: str) -> SegmentEncoder:
     """One encoder to a worker process."""
     if path not in _encoders:
+        gc.set_threshold(200_000, 20, 100)  # the caches hold no cycles: look for these seldom
         _encoders[path] = SegmentEncoder(path)
     return _encoders[path]
 

@@ -40,7 +40,8 @@ def encoders():
 @given(st.text(alphabet=st.sampled_from(list("ab Z1.'s\n\t  \x1cé东́-<|>endoftx")), max_size=60))
 def test_segments_equal_whole_text(text):
     enc, ref = encoders()
-    assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == ref.encode(text, add_special_tokens=False).ids
+    for text in (text, text + " word.\nNext### a*b²c it's.\n\nTwo Ⅷx,\n12 _x_ " + text):
+        assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == ref.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("which", ["docs", "awkward", "nothing"])
