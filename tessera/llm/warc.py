@@ -75,12 +75,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     stored = records.where("not coalesce(is_revisit, false)").select(F.col("record_id").alias("s_id"), F.col("headers").alias("s_headers"), F.col("payload").alias("s_payload")).dropDuplicates(["s_id"])
     allowed = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
     kept = F.map_filter("s_headers", lambda k, v: ~F.array_contains(F.map_keys(allowed), k))
-    merged = F.when(F.col("status") == "resolved", F.map_concat(kept, allowed)).otherwise(F.col("headers"))
-    revisits = (
-        judged.unionByName(lost)
-        .join(stored, F.col("source_id") == F.col("s_id"), "left")
-        .select("record_id", "canonical_url", "status", "source_id", merged.alias("headers"), F.col("s_payload").alias("payload"))
-    )
+    merged = F.map_concat(kept, allowed)
+    found = judged.where("source_id is not null").join(stored, F.col("source_id") == F.col("s_id")).select("record_id", "canonical_url", "status", "source_id", merged.alias("headers"), F.col("s_payload").alias("payload"))
+    # what has no source passes by the join
+    rest = judged.where("source_id is null").unionByName(lost).withColumn("payload", F.lit(None).cast("string"))
+    revisits = found.unionByName(rest)
     full = records.where("not coalesce(is_revisit, false)").select("record_id", canonical_url(F.col("url")).alias("canonical_url"), F.lit("response").alias("status"), F.lit(None).cast("long").alias("source_id"), "headers", "payload")
     return full.unionByName(revisits)
 
