@@ -150,7 +150,7 @@ def signs(raw: str, model: np.ndarray) -> list[str]:
     """A word's features: itself and its beginnings."""
     word = plain_word(raw, model)[:40]
     out = ["=" + word] if len(word) > 2 else []
-    return out + [f"{n}{word[:n]}" for n in (4, 5, 6) if len(word) > n]
+    return out + [f"{n}{word[:n]}" for n in range(3, 9) if len(word) > n]
 
 
 def words_of(text: str):
@@ -215,7 +215,7 @@ def fit(rows: DataFrame, labels: DataFrame, folder: str, id_col: str = "doc_id",
     return lm, {f: float(w) for f, w in zip(best, weights) if abs(w) > 1e-3}, intercept
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, penalty: float = 0.5, rounds: int = 300) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, penalty: float = 3.0, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Ridge-penalised logistic regression on binary features, by accelerated gradient steps."""
     counts = np.bincount(cols, minlength=width) + penalty
     w, before, b = np.zeros(width), np.zeros(width), math.log(y.mean() / (1 - y.mean()))
