@@ -73,7 +73,7 @@ _ONE = {
     "array_concat": lambda *xs: f"if({' AND '.join(f'({x}) IS NULL' for x in xs)}, NULL, concat({', '.join(f'coalesce({x}, array())' for x in xs)}))",
     "array_dims": _dims,
     "array_ndims": lambda a: f"((length(typeof({a})) - length(replace(typeof({a}), 'array<', ''))) div 6)",
-    "array_distance": lambda a, b: f"sqrt(aggregate(zip_with({a}, {b}, (p, q) -> power(p - q, 2)), 0d, (p, q) -> p + q))",
+    "array_distance": lambda a, b: f"sqrt(aggregate(zip_with({a}, {b}, (p, q) -> power(cast(p AS double) - q, 2)), 0d, (p, q) -> p + q))",
     "empty": lambda a: f"(size({a}) = 0)",
     "array_element": element,
     "array_slice": slice_,

@@ -16,8 +16,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def session(spark: SparkSession, sf_dir: str) -> Session:
     s = Session(spark)
-    for name in TABLES:
-        s.register_parquet(name, f"{sf_dir}/{name}.parquet")
+    s.register_folder(sf_dir, TABLES)
     return s
 
 

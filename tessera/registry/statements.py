@@ -195,7 +195,7 @@ def _events(spark, sf_dir):
     folder, name = os.path.split(f"{sf_dir}/events.parquet")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # times of a stream's watermark are instants
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp_ltz"))
 
 
 def stream_tumbling(spark, sf_dir):

@@ -49,6 +49,7 @@ class Session:
         self._variables: dict[str, object] = {}
         self._views: set[str] = set()
         self._digest = False
+        self._pending: dict[str, str] = {}
 
     # -- tables -------------------------------------------------------------------------------
 
@@ -64,7 +65,16 @@ class Session:
         self._views.discard(name.lower())
         return self.spark.catalog.dropTempView(name)
 
+    def register_folder(self, folder: str, names) -> None:
+        """Parquet tables of a folder, each read once a statement names it."""
+        self._pending |= {n: f"{folder}/{n}.parquet" for n in names}
+
+    def _touch(self, text: str) -> None:
+        for name in [n for n in self._pending if re.search(rf"\b{n}\b", text, re.I)]:
+            self.register_parquet(name, self._pending.pop(name))
+
     def table(self, name: str) -> Frame:
+        self._touch(name)
         return Frame(self.spark.table(name), self)
 
     read_table = table
@@ -177,6 +187,7 @@ class Session:
     def sql(self, sql: str, params: dict | list | None = None) -> Frame:
         from tessera.plans.statements import run
 
+        self._touch(sql)
         return Frame(run(self, sql.strip().rstrip(";").strip(), params), self)
 
     def sql_with_options(self, sql: str, allow_ddl: bool = True, allow_dml: bool = True, allow_statements: bool = True) -> Frame:
