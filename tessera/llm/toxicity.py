@@ -159,8 +159,9 @@ def words_of(text: str):
     out = set(low.split())
     for m in _SPACED.finditer(low):
         found = m[0][::2]
-        # a long row of letters is taken in windows, so that a disguised word within is seen
-        out.update([found] if len(found) <= 16 else (found[i : i + 16] for i in range(0, len(found), 8)))
+        # a word may follow other letters that stand alone; a long row is taken in windows
+        last = max(1, len(found) - 3)
+        out.update(found[i : i + 16] for i in (range(last) if len(found) <= 64 else range(0, last, 4)))
     return out
 
 

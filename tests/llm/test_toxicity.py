@@ -41,7 +41,7 @@ def score(text):
 def test_restores():
     found = {w: tox.plain_word(w, LM) for w in ("l0ser", "1d1ot", "$tupid!", "stuuupid", "tra$h,", "(clown)", "2024", "a1b2c3d4e5f6a7b8", "smaller")}
     assert found == {"l0ser": "loser", "1d1ot": "idiot", "$tupid!": "stupid", "stuuupid": "stupid", "tra$h,": "trash", "(clown)": "clown", "2024": "2024", "a1b2c3d4e5f6a7b8": found["a1b2c3d4e5f6a7b8"], "smaller": "smaller"}
-    assert "idiot" in tox.words_of("you i d i o t !") and "loser" in tox.words_of("l-o-s-e-r")
+    assert "idiot" in tox.words_of("you i d i o t !") and "loser" in tox.words_of("l-o-s-e-r") and "idiot" in tox.words_of("is a i d i o t")
 
 
 def test_held_out_accuracy(spark):
