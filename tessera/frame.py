@@ -198,7 +198,8 @@ class Frame:
         return [f.name for f in self.df.sparkSession.catalog.listFunctions()]
 
     def with_param_values(self, params) -> Frame:
-        raise ValueError("give parameters to Session.sql(text, params)")
+        """A frame's placeholders all have values; those without are ``session.Open``."""
+        return self
 
     # -- writers ------------------------------------------------------------------------------
 

@@ -188,6 +188,8 @@ class Session:
         from tessera.plans.statements import run
 
         self._touch(sql)
+        if params is None and re.match(r"\s*(SELECT|WITH|VALUES)\b", sql, re.I) and re.search(r"\$\w+", re.sub(r"'[^']*'", "", sql)):
+            return Open(self, sql)
         return Frame(run(self, sql.strip().rstrip(";").strip(), params), self)
 
     def sql_with_options(self, sql: str, allow_ddl: bool = True, allow_dml: bool = True, allow_statements: bool = True) -> Frame:
@@ -214,6 +216,16 @@ class Session:
         self.spark.conf.set(target, value)
 
 
+class Open:
+    """A query whose placeholders have no values yet."""
+
+    def __init__(self, session: Session, sql: str):
+        self.session, self.text = session, sql
+
+    def with_param_values(self, params: dict | list) -> Frame:
+        return self.session.sql(self.text, params)
+
+
 def _literal(value) -> str:
     if value is None:
         return "NULL"

@@ -143,6 +143,26 @@ def test_frame_methods(s):
     assert s.sql("SELECT count(*) AS n FROM again").df.head().n == n
 
 
+def test_command_line(s):
+    import io
+
+    from tessera.__main__ import Shell, statements
+
+    assert statements("SELECT ';' -- a; b\n; SELECT 2;") == ["SELECT ';' -- a; b", "SELECT 2"]
+    out = io.StringIO()
+    shell = Shell(s, "csv", quiet=True, out=out)
+    shell.run("SELECT 1 AS a, 'x' AS b; SELECT 2 AS c")
+    assert out.getvalue() == "a,b\n1,x\nc\n2\n"
+    assert shell.command("\\pset format nd-json") and shell.form == "nd-json"
+    shell.run("SELECT 3 AS d")
+    assert out.getvalue().endswith('{"d":3}\n') and not shell.command("\\q")
+
+
+def test_parameters(s):
+    assert s.sql("SELECT $1 + 1 AS v").with_param_values([4]).df.head().v == 5
+    assert s.sql("SELECT $a AS v", {"a": "x"}).df.head().v == "x"
+
+
 def test_null_safe_join(spark):
     a = spark.createDataFrame([(1,), (None,)], "x int")
     b = spark.createDataFrame([(None,), (1,), (2,)], "y int")
