@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch at most, so that a Python worker's memory doesn't follow the text lengths.
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
+#: Bits of a bitmap that travels to the scans, whatever the input's size.
+BITMAP = 1 << 23
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -65,3 +69,44 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def place(*columns) -> Column:
+    """A row's bit in a bitmap."""
+    return F.pmod(F.xxhash64(*columns), F.lit(BITMAP))
+
+
+def bitmap(places: DataFrame) -> np.ndarray:
+    """The bits named by a column ``at``, as 64-bit words."""
+    words = places.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    out = np.zeros(BITMAP // 64, np.int64)
+    for row in words.toLocalIterator():  # BITMAP / 64 rows at most
+        out[row["word"]] = row["bits"]
+    return out.view(np.uint64)
+
+
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in the one column of ``gone``.
+
+    Rows whose bit no gone id sets stay where they are; only the others, gone or sharing a bit, go to
+    an exact anti join.  So texts of rows that stay are hardly ever shuffled.
+    """
+    gone = gone.toDF("_gone").distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(place("_gone").alias("at"))))
+    marked = docs.withColumn("_place", place(docs[id_col].cast("long")))
+
+    def rows(hit: bool):
+        def run(batches):
+            for batch in batches:
+                at = batch.column(batch.num_columns - 1).to_numpy()
+                kept = pa.array(is_set(bits.value, at) == hit)
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(kept)
+
+        return marked.mapInArrow(run, docs.schema)
+
+    doubtful = rows(True)
+    return rows(False).unionAll(doubtful.join(gone, doubtful[id_col] == F.col("_gone"), "left_anti"))

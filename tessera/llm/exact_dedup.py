@@ -21,14 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, bounded_batches, id_and_text, work_dir, written
+from tessera.llm.common import ascii_lower, bitmap, bounded_batches, id_and_text, is_set, place, without, work_dir, written
 
 PREFIX = 256
-BITMAP = 1 << 23
-
-
-def _place(length, prefix):
-    return F.pmod(F.xxhash64(length, prefix), F.lit(BITMAP))
 
 
 def survivors(rows: DataFrame) -> np.ndarray:
@@ -38,12 +33,7 @@ def survivors(rows: DataFrame) -> np.ndarray:
     groups = measured.groupBy("n", "p").agg(F.count("*").alias("rows"))
     alike = groups.groupBy("n").agg(F.sum("rows").alias("of_length"))
     groups = groups.where("rows > 1").join(alike.where("of_length > 1"), "n", "left_semi")
-    place = groups.select(_place(F.col("n"), F.col("p")).alias("at"))
-    words = place.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    out = np.zeros(BITMAP // 64, np.int64)
-    for row in words.toLocalIterator():  # BITMAP / 64 rows at most
-        out[row["word"]] = row["bits"]
-    return out.view(np.uint64)
+    return bitmap(groups.select(place("n", "p").alias("at")))
 
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
@@ -51,21 +41,19 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = id_and_text(docs, id_col, text_col)
-    bitmap = spark.sparkContext.broadcast(survivors(rows))
+    survive = spark.sparkContext.broadcast(survivors(rows))
 
     def run(batches):
-        bits = bitmap.value
         for batch in batches:
             row, key, at, raw = batch.columns
-            at = at.to_numpy()
-            shared = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            shared = is_set(survive.value, at.to_numpy())
             sha = [hashlib.sha256(x.as_buffer().to_pybytes().lower()).hexdigest() if hash_all or s else None for x, s in zip(raw, shared)]
             yield pa.RecordBatch.from_arrays([row, key, pa.array(sha, pa.string()), pa.array(~shared)], names=["_row", "_id", "sha", "alone"])
 
     placed = rows.select(
         F.monotonically_increasing_id().alias("_row"),
         "_id",
-        _place(F.octet_length("_text"), F.xxhash64(ascii_lower(F.substring("_text", 1, PREFIX)))).alias("at"),
+        place(F.octet_length("_text"), F.xxhash64(ascii_lower(F.substring("_text", 1, PREFIX)))).alias("at"),
         F.col("_text").cast("binary").alias("raw"),
     )
     return written(placed.mapInArrow(run, "_row long, _id long, sha string, alone boolean"), work_dir(spark), "hashed")
@@ -87,5 +75,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; ids are taken to be unique."""
-    gone = duplicate_groups(hashed(docs, id_col, text_col)).where("not kept").select(F.col("_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = duplicate_groups(hashed(docs, id_col, text_col)).where("not kept").select("_id")
+    return without(docs, id_col, written(gone, work_dir(docs.sparkSession), "gone"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, work_dir, written
+from tessera.llm.common import work_dir, written
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = tuple(f"ctx_{k}" for k in KINDS)
@@ -76,8 +76,11 @@ def _named(k: int):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["left"].alias("left"))
 
 
-def scanned(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_row, _id, base, tokens): base spans with their kinds, and other tokens with digits."""
+def scanned(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(_row, _id, base, tokens): base spans with their kinds, and other tokens with digits.
+
+    With ``carry`` the row itself comes along, as the struct ``_doc``.
+    """
     text = F.col("_text")
     rules = {
         "email": (_EMAIL, text.contains("@")),
@@ -85,7 +88,8 @@ def scanned(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
         "card": (_CARD, text.rlike(r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]")),
         "phone": (_PHONE, text.contains("+")),
     }
-    rows = id_and_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("_row"), "_id", "_text")
+    own = F.struct(*(docs[c] for c in docs.columns)).alias("_doc")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), *([own] if carry else []))
     base = F.array_sort(
         F.concat(
             *(
@@ -96,7 +100,7 @@ def scanned(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
     )
     trimmed = F.transform(_spans(_TOKEN, text.rlike("[0-9]")), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(F.rtrim(s["value"], F.lit("._/@+-")))).alias("end"), F.rtrim(s["value"], F.lit("._/@+-")).alias("value"), s["left"].alias("left")))
     tokens = F.filter(trimmed, lambda c: (F.length(c["value"]) >= 5) & (F.length(_digits(c["value"])) >= 3) & ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return written(rows.withColumn("base", base).withColumn("tokens", tokens).select("_row", "_id", "base", "tokens"), folder, "scanned")
+    return written(rows.withColumn("base", base).withColumn("tokens", tokens).drop("_text"), folder, "scanned")
 
 
 def patterns(found: DataFrame, folder: str) -> DataFrame:
@@ -156,13 +160,21 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each span replaced by its kind's mark; all columns stay, and ids are taken to be unique.
+    """``docs`` with each span replaced by its kind's mark; all columns stay.
 
     Of overlapping spans the first gives the mark and all are covered.
     """
-    found = find_personal_data(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("spans").alias("_pii_spans"))
+    folder = work_dir(docs.sparkSession)
+    found = scanned(docs, folder, id_col, text_col, carry=True)
+    more = discovered(found, patterns(found, folder)).withColumnRenamed("_row", "m_row")
+    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    found = found.withColumn("base", plain)
+    # only rows with further tokens can have further spans: the others don't meet the join
+    few = found.where(F.size("tokens") > 0).join(more, F.col("_row") == F.col("m_row"), "left")
+    spans = few.select("_doc", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
+    spans = found.where(F.size("tokens") == 0).select("_doc", F.col("base").alias("spans")).unionAll(spans)
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS * 2))
-    text = F.col(text_col)
+    text = F.col("_doc")[text_col]
 
     def step(held, s):
         fresh = s["start"] >= held["pos"]
@@ -170,6 +182,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return F.struct(F.greatest(held["pos"], s["end"]).alias("pos"), F.when(fresh, F.concat(held["out"], F.array(gap, F.element_at(marks, s["kind"] + 1)))).otherwise(held["out"]).alias("out"))
 
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("_pii_spans", zero, step, lambda held: F.array_join(F.concat(held["out"], F.array(F.substring(text, held["pos"] + 1, F.lit((1 << 31) - 1)))), ""))
-    joined = docs.join(found, docs[id_col] == F.col("_pii_id"), "left")
-    return joined.select(*(F.when(F.col("_pii_spans").isNotNull(), clean).otherwise(text).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    clean = F.aggregate("spans", zero, step, lambda held: F.array_join(F.concat(held["out"], F.array(F.substring(text, held["pos"] + 1, F.lit((1 << 31) - 1)))), ""))
+    return spans.select(*(F.when(F.size("spans") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns))

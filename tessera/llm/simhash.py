@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, id_and_text, work_dir, written
+from tessera.llm.common import bounded_batches, id_and_text, without, work_dir, written
 from tessera.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -246,5 +246,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The row with the least id of each component, with all its columns; ids are taken to be unique."""
-    gone = near_groups(docs, id_col, text_col, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = near_groups(docs, id_col, text_col, width, radius).where("doc_id <> component_id").select("doc_id")
+    return without(docs, id_col, written(gone, work_dir(docs.sparkSession), "gone"))
