@@ -110,3 +110,19 @@ def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
 
     doubtful = rows(True)
     return rows(False).unionAll(doubtful.join(gone, doubtful[id_col] == F.col("_gone"), "left_anti"))
+
+
+#: Keys with over this share of all rows are hot; there are fewer than its inverse of them.
+HOT_SHARE = 1 / 1000
+
+
+def join_groups(rows: DataFrame, key: str, groups: DataFrame, group_key: str, size: str) -> DataFrame:
+    """Left join of a written table's rows to the groups they form, ``size`` being a group's count of rows.
+
+    Hot groups, fewer than 1,000 by arithmetic, are broadcast, so that one key with a large share of all
+    rows doesn't meet in one task; all others meet by shuffle.
+    """
+    most = rows.count() * HOT_SHARE
+    hot = rows.join(F.broadcast(groups.where(F.col(size) > most)), F.col(key) == F.col(group_key), "left")
+    cold = hot.where(F.col(group_key).isNull()).select(*rows.columns).join(groups.where(F.col(size) <= most), F.col(key) == F.col(group_key), "left")
+    return hot.where(F.col(group_key).isNotNull()).unionByName(cold)

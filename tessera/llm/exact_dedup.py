@@ -2,10 +2,10 @@
 
 Normalised texts (A-Z lower-cased, nothing else) are grouped by byte length, then by length and a
 hash of their first ``PREFIX`` characters, and only rows of groups that still hold several are hashed
-in full.  Which (length, prefix) groups survive travels to the scan as a bitmap of ``BITMAP`` bits, a
+in full.  Which (length, prefix) groups survive travels to the scan as a bitmap of a
 fixed size: rows of other groups may share a bit, which costs a needless hash and no error.  Texts are
-never shuffled; groups are counted with partial aggregation and the join back to the rows can be split
-where one group holds a large share of them.
+never shuffled; groups are counted with partial aggregation, and groups with a large share of the rows meet them by
+broadcast (fewer than 1,000).
 
 Cases: a null text counts as empty; very long texts are hashed as a stream of bytes; of equal texts
 the row with the largest id stays (a row with a null id only if it is alone or all ids are null), and
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, bitmap, bounded_batches, id_and_text, is_set, place, without, work_dir, written
+from tessera.llm.common import ascii_lower, bitmap, bounded_batches, id_and_text, is_set, join_groups, place, without, work_dir, written
 
 PREFIX = 256
 
@@ -62,7 +62,7 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash
 def duplicate_groups(rows: DataFrame) -> DataFrame:
     """Each row of ``hashed`` with keep_id, group_size and kept."""
     groups = rows.where("not alone").groupBy("sha").agg(F.max("_id").alias("g_id"), F.count("*").alias("g_size")).where("g_size > 1")
-    joined = rows.where("not alone").join(groups.withColumnRenamed("sha", "g_sha"), F.col("sha") == F.col("g_sha"), "left")
+    joined = join_groups(rows.where("not alone"), "sha", groups.withColumnRenamed("sha", "g_sha"), "g_sha", "g_size")
     both = joined.unionByName(rows.where("alone"), allowMissingColumns=True)  # rows alone with their prefix pass by the join
     keep = F.when(F.col("g_size").isNotNull(), F.col("g_id")).otherwise(F.col("_id"))
     return both.select("_row", "_id", "sha", keep.alias("keep_id"), F.coalesce("g_size", F.lit(1).cast("long")).alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, id_and_text, without, work_dir, written
+from tessera.llm.common import bounded_batches, id_and_text, join_groups, without, work_dir, written
 from tessera.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -233,15 +233,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, fp (signed bits), component_id of every row."""
     folder = work_dir(docs.sparkSession)
     rows = written(fingerprints(docs, id_col, text_col, width), folder, "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("_id").alias("least")), folder, "classes")
+    classes = written(rows.groupBy("fp").agg(F.min("_id").alias("least"), F.count("*").alias("size")), folder, "classes")
     joined = components(links(classes, radius, folder), folder)  # (fingerprint, least fingerprint of its component)
     # the least id of each component; fingerprints without a link are components of their own
     ends = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct())
     with_ids = classes.join(ends, classes["fp"] == ends["node"])
     least = with_ids.groupBy("component").agg(F.min("least").alias("component_id"))
     member = ends.join(least, "component").select(F.col("node").alias("m_fp"), "component_id")
-    place = classes.join(member, classes["fp"] == member["m_fp"], "left").select(F.col("fp").alias("c_fp"), F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(place, rows["fp"] == place["c_fp"], "left").select(F.col("_id").alias("doc_id"), "fp", "component_id")
+    place = classes.join(member, classes["fp"] == member["m_fp"], "left").select(F.col("fp").alias("c_fp"), F.coalesce("component_id", "least").alias("component_id"), "size")
+    place = written(place, folder, "places")
+    return join_groups(rows, "fp", place, "c_fp", "size").select(F.col("_id").alias("doc_id"), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
