@@ -95,9 +95,10 @@ def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     Rows whose bit no gone id sets stay where they are; only the others, gone or sharing a bit, go to
     an exact anti join.  So texts of rows that stay are hardly ever shuffled.
     """
-    gone = gone.toDF("_gone").distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(place("_gone").alias("at"))))
-    marked = docs.withColumn("_place", place(docs[id_col].cast("long")))
+    own = "_" + "_".join(docs.columns)  # longer than any column's name, so none clashes
+    gone = gone.toDF(own).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(place(own).alias("at"))))
+    marked = docs.select("*", place(docs[id_col].cast("long")).alias(own))
 
     def rows(hit: bool):
         def run(batches):
@@ -109,7 +110,7 @@ def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
         return marked.mapInArrow(run, docs.schema)
 
     doubtful = rows(True)
-    return rows(False).unionAll(doubtful.join(gone, doubtful[id_col] == F.col("_gone"), "left_anti"))
+    return rows(False).unionAll(doubtful.join(gone, doubtful[id_col] == gone[own], "left_anti"))
 
 
 #: Keys with over this share of all rows are hot; there are fewer than its inverse of them.

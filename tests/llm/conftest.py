@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text int, kept string, fp long, row int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text int, kept string, fp long, row int, _place int, _gone int, _doc int, _id string"
 
 
 def awkward_rows():
@@ -24,7 +24,7 @@ def awkward_rows():
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Nulls, empty and very long texts, ties, repeated rows and clashing extra columns."""
-    return spark.createDataFrame(awkward_rows(), SCHEMA).repartition(3)
+    return spark.createDataFrame([r + (1, 1, 1, "i") for r in awkward_rows()], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="session")
