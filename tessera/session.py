@@ -13,7 +13,8 @@ from tessera.operators import relational
 from tessera.plans import dialect
 from tessera.sources import files
 
-#: Settings that the engine's semantics and large clusters call for; a value the user set stays.
+#: Settings that the engine's semantics and large clusters call for; a value the user set stays, but for the
+#: type that TIMESTAMP stands for, which the dialect relies on.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
