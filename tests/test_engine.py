@@ -179,3 +179,27 @@ def test_missing_subpackage():
 
     top = pathlib.Path(tessera.__file__).parent
     assert not [f for f in top.rglob("*.py") if "llm" not in f.parts and "tessera.llm" in f.read_text()]
+
+
+def test_stands_alone(tmp_path):
+    """A copy without the subpackage imports, lists the other queries and runs one, with or without the pipeline's file."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    top = pathlib.Path(__file__).resolve().parents[1]
+    shutil.copytree(top, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "spark-warehouse"))
+    code = (
+        "import __spark_entry__ as e\n"
+        "from tessera import registry\n"
+        "assert set(e.queries()) == set(registry.collect()[0]) and set(e.oracle_sql()) == set(registry.collect()[1]) and len(e.queries()) > 400\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert e.entry(spark).count() > 0\n"
+    )
+    for gone in (None, "corpus_pipeline.py"):
+        if gone:
+            (tmp_path / "copy" / gone).unlink(missing_ok=True)
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr[-2000:]
