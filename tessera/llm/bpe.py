@@ -8,8 +8,9 @@ stitches are encoded independently and their ids concatenated; decoding concaten
 bytes.  Where neighbours share no boundary (one pre-token fills the whole overlap), that document is
 put together again and encoded as one piece, so the result is exact in every case.
 
-Cases: a null text counts as empty and has no id; very long texts are handled piecewise; repeated
-rows are each encoded; an empty table gives no row; other columns are pruned.
+Cases: a null text counts as empty and has no token; a null id stays null; very long texts are handled
+piecewise; rows of one id with different texts and repeated rows are each encoded; no ties arise; an
+empty table gives no row; other columns are pruned.
 """
 
 from __future__ import annotations

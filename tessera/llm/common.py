@@ -20,14 +20,14 @@ BITMAP = 1 << 23
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests in local mode) a temporary folder takes its place for the
-    session's life.
+    Where the setting is absent, a temporary folder takes its place in local mode (tests); on a cluster
+    that is an error, as executors would write elsewhere.  No setting of the session is changed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
@@ -39,14 +39,21 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete tables of the shared folder that no later plan reads."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small; a lower setting of the user's stays."""
     for key, most in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
     ):
-        now = spark.conf.get(key, None)
-        if now is None or int(str(now).rstrip("b")) <= 0 or int(str(now).rstrip("b")) > most:
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if not 0 < now <= most:
             spark.conf.set(key, str(most))
 
 

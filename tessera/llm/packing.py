@@ -7,7 +7,9 @@ that crosses a window's end leaves a boundary record in each window it touches.
 shuffled, and only the very last sequence can need padding.
 
 Cases: a null text counts as empty and yields its end id; very long texts fill several windows;
-repeated rows are packed each; an empty table gives no piece; other columns are pruned.
+rows with a null id, with one id and different texts, and repeated rows are packed each (a null id stays
+null); an empty table gives no piece; other columns are pruned.  Documents are laid out in the order of
+the table's partitions, so no ties arise.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ runs whose bytes parse as DER with nested lengths that add up, and OpenSSH key e
 length-prefixed fields are consistent.  A cheap vectorised search picks the texts worth a close look.
 
 Cases: a null text counts as empty and has no span; very long texts are scanned whole, in linear
-time; repeated rows are each reported; an empty table gives no row; other columns are pruned.
+time; a null id stays null; rows of one id with different texts and repeated rows are each reported;
+spans that start together stand in the order of ``KINDS``; an empty table gives no row; other columns are pruned.
 """
 
 from __future__ import annotations
@@ -28,9 +29,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:\s*+[A-Za-z0-9-]++:[^\n]*+\n)*+)([A-Za-z0-9+/=\s]*+)-----END \1-----")
+#: A run of at least 40 characters of base64, and one of its URL-safe alphabet.
 _B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
-_PREFILTER = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|(?-i:AKIA[A-Z0-9]{12}|[0-9a-f]{32}|\bey[A-Za-z0-9_-]{6}|-----BEGIN |[A-Za-z0-9+/]{40})"
+_URL64 = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{40,}={0,2}")
+_LINE = {False: re.compile(r"\r?\n([A-Za-z0-9+/]+={0,2})(?![A-Za-z0-9+/=])"), True: re.compile(r"\r?\n([A-Za-z0-9_-]+={0,2})(?![A-Za-z0-9_=-])")}
+#: Algorithms of signed tokens (fixed values of JSON Web Algorithms).
+_ALGORITHMS = frozenset("none HS256 HS384 HS512 RS256 RS384 RS512 ES256 ES256K ES384 ES512 PS256 PS384 PS512 EdDSA Ed25519 Ed448".split())
+_PREFILTER = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|(?-i:AKIA[A-Z0-9]{12}|[0-9a-f]{32}|\bey[A-Za-z0-9_-]{6}|-----BEGIN |[A-Za-z0-9+/_-]{40})"
+_SSH_MAGIC = b"openssh-key-v1\0"
 _SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
 
@@ -77,31 +84,88 @@ def der_sequence(raw: bytes) -> bool:
     return known and head + first == len(raw)
 
 
+def _fields(raw: bytes, at: int, n: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from ``at``: n of them, or as many as fill the bytes."""
+    out: list[bytes] = []
+    while len(out) < n if n is not None else at < len(raw):
+        size = int.from_bytes(raw[at : at + 4], "big")
+        if at + 4 + size > len(raw):
+            return None
+        out.append(raw[at + 4 : at + 4 + size])
+        at += 4 + size
+    return out, at
+
+
+def _public_key(raw: bytes) -> bool:
+    found = _fields(raw, 0)
+    return found is not None and len(found[0]) >= 2 and found[0][0] in _SSH_NAMES
+
+
 def ssh_key(raw: bytes) -> bool:
-    """A public key's length-prefixed fields, or the container of a private key."""
-    if raw.startswith(b"openssh-key-v1\0"):
-        return True
-    fields, at = [], 0
-    while at + 4 <= len(raw):
-        n = int.from_bytes(raw[at : at + 4], "big")
-        if at + 4 + n > len(raw):
-            return False
-        fields.append(raw[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(raw) and len(fields) >= 2 and fields[0] in _SSH_NAMES
+    """A public key's length-prefixed fields, or the container of private keys with all its parts.
+
+    The container: cipher, key derivation and its options, the count of keys, that many public keys, and
+    one block of private keys, which fills the rest and a whole number of cipher blocks.
+    """
+    if not raw.startswith(_SSH_MAGIC):
+        return _public_key(raw)
+    head = _fields(raw, len(_SSH_MAGIC), 3)
+    if head is None:
+        return False
+    (cipher, derivation, options), at = head
+    count = int.from_bytes(raw[at : at + 4], "big")
+    if not cipher or not cipher.isascii() or derivation not in (b"none", b"bcrypt") or (derivation == b"none") != (not options) or not 1 <= count <= len(raw) // 4:
+        return False
+    body = _fields(raw, at + 4, count + 1)
+    if body is None or not all(map(_public_key, body[0][:-1])):
+        return False
+    block, rest = body[0][-1], len(raw) - body[1]
+    # an unencrypted block starts with the same check number twice; authenticated ciphers append a tag
+    return len(block) >= 8 and len(block) % 8 == 0 and rest in (0, 16) and (cipher != b"none" or block[:4] == block[4:8])
 
 
 def signed_token(header: str, payload: str) -> bool:
-    """A JOSE header (a JSON object with an algorithm) and a payload that is a JSON object."""
-    for part, needs in ((header, "alg"), (payload, None)):
+    """A JOSE header (a JSON object with a registered algorithm) and a payload that is a JSON object."""
+    found = []
+    for part in (header, payload):
         raw = _b64(part, url=True)
         try:
-            value = json.loads(raw) if raw is not None else None
+            found.append(json.loads(raw) if raw is not None else None)
         except (ValueError, RecursionError):
             return False
-        if not isinstance(value, dict) or needs and not isinstance(value.get(needs), str):
-            return False
-    return True
+    return all(isinstance(x, dict) for x in found) and isinstance(found[0].get("alg"), str) and found[0]["alg"] in _ALGORITHMS
+
+
+def key_kind(raw: bytes | None) -> int | None:
+    """The kind's number of bytes that parse as a key encoding."""
+    return None if not raw else 5 if der_sequence(raw) else 6 if ssh_key(raw) else None
+
+
+def _key_run(text: str, m: re.Match, url: bool, alone: bool) -> tuple[int | None, int, int]:
+    """Kind's number (if any) and end of a run that decodes to a key, alone or with the lines of its width that
+    follow it, and where these lines end.
+
+    A wrapped key begins with its block of lines of one width: runs within a block are tried ``alone``,
+    which keeps the scan linear.
+    """
+    run = m[0]
+    if not url and len(run) % 2 == 0 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
+        kind = key_kind(bytes.fromhex(run))
+        if kind:
+            return kind, m.end(), m.end()
+    lines, ends = [run], [m.end()]
+    while not alone and len(lines[-1]) == len(run):
+        more = _LINE[url].match(text, ends[-1])
+        if more is None or len(more[1]) > len(run):
+            break
+        lines.append(more[1])
+        ends.append(more.end())
+    # the last short line may be a word of the text that follows
+    for n in sorted({len(lines), len(lines) - 1, 1} - {0}, reverse=True):
+        kind = key_kind(_b64("".join(lines[:n]), url))
+        if kind:
+            return kind, ends[n - 1], ends[-1]
+    return None, m.end(), ends[-1]
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -113,18 +177,19 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if signed_token(m[1], m[2])]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            raw = _b64("".join(m[2].split()))
-            if raw and (der_sequence(raw) or ssh_key(raw)):
+            raw = _b64("".join(m[3].split()))
+            # a block with headers of its own (Proc-Type, DEK-Info) holds ciphertext: whole blocks of a cipher
+            if raw and (key_kind(raw) or "DEK-Info:" in m[2] and len(raw) >= 16 and len(raw) % 8 == 0):
                 out.append((m.start(), 4, m.end()))
-    for m in _B64.finditer(text):
-        run = m[0]
-        raw = bytes.fromhex(run) if len(run) % 2 == 0 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run) else None
-        if raw is None or not der_sequence(raw):
-            raw = _b64(run)
-        if raw and der_sequence(raw):
-            out.append((m.start(), 5, m.end()))
-        elif raw and ssh_key(raw):
-            out.append((m.start(), 6, m.end()))
+    for pattern, url in ((_B64, False), (_URL64, True)):
+        done = block = 0
+        for m in pattern.finditer(text):
+            if m.start() >= done:
+                kind, end, last = _key_run(text, m, url, m.start() < block)
+                block = max(block, last)
+                if kind:
+                    done = end
+                    out.append((m.start(), kind, end))
     return sorted(out)
 
 

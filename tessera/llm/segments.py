@@ -4,12 +4,17 @@ The pre-tokenizer of a byte-level BPE file never lets a token cross a place wher
 stands between two characters that aren't white space: words, numbers and punctuation runs hold no
 space but an optional leading one.  A text may therefore be cut before each such space, the pieces
 encoded one by one with the library and the ids concatenated, and repeated pieces encoded once.
+
+This holds for files whose only pre-tokenizer is the byte-level one with its pattern and without a
+leading space, without a normaliser, and for texts without the string of an added token (the library
+takes these out before it splits).  Other files, and other texts, are encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import functools
 import gc
+import json
 import os
 import re
 import struct
@@ -40,6 +45,23 @@ _BYTE_CHARS = _byte_characters()
 _SPACE = _BYTE_CHARS[0x20]
 
 
+def _splits_at_spaces(path: str) -> bool:
+    """Whether the file says what the cuts of this module rest on."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    before, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    return (
+        before.get("type") == "ByteLevel"
+        and before.get("use_regex", True)
+        and not before.get("add_prefix_space")
+        and said.get("normalizer") is None
+        and said.get("truncation") is None
+        and said.get("padding") is None
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    )
+
+
 @functools.cache
 def _packers(n: int, kind: str) -> struct.Struct:
     return struct.Struct(f"<{n}{kind}")
@@ -54,8 +76,8 @@ class SegmentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # the strings of special tokens in a text are ordinary text
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.splits = _splits_at_spaces(path) and not any(re.search(r"\s", a) for a in self.added)
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # a byte-level token has one character to a byte
@@ -134,9 +156,18 @@ class SegmentEncoder:
         return _packers(len(ids), self.dtype.char).pack(*ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.splits:
+            return [self._ids(t).tobytes() for t in texts]
+        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        if whole:
+            rest = iter(self._in_pieces([t for i, t in enumerate(texts) if i not in whole]))
+            return [self._ids(t).tobytes() if i in whole else next(rest) for i, t in enumerate(texts)]
+        return self._in_pieces(texts)
+
+    def _in_pieces(self, texts: list[str]) -> list[bytes]:
         parts = [text.split(" ") for text in texts]
         known = self._known
-        unknown = set().union(*parts).difference(known)
+        unknown = set().union(*parts).difference(known) if parts else set()
         odd = {w for w in unknown if w.strip() != w or not w}
         once = self._learn(unknown - odd if odd else unknown)
         out = []

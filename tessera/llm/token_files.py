@@ -1,14 +1,20 @@
 """Operator 1: token ids in seekable Zstandard shards.
 
 Each shard is a plain Zstandard stream of independent frames, one to a document (a document of more
-than ``FRAME_TOKENS`` ids takes several), followed by two skippable frames: a document index and,
-last, the seek table of the public "zstd seekable format" (compressed size, decompressed size and
-the low 32 bits of XXH64 of each frame).  A reader takes the tail of the file, looks a document up
-in the index and decompresses only that document's frames; every frame's checksum is verified.
+than ``FRAME_TOKENS`` ids takes several), followed by two skippable frames: a document index and, last
+in the file, the seek table of the public "zstd seekable format" (compressed size, decompressed size
+and the low 32 bits of XXH64 of each frame).  A reader takes the seek table from the end of the file,
+finds the index after the frames (their sizes add up to its place), looks a document up there and
+decompresses only that document's frames; every frame's checksum is verified.
+
+Texts are encoded where they lie and the ids written to the shared folder; one range exchange of the
+ids, about a third of the texts' bytes, then puts them in order.  Equal ids are told apart by a hash of
+the token ids and the place of encoding, so that an id with many rows is split over shards as well.
 
 Cases: a null text counts as empty and yields only the end id; very long texts take several frames;
-rows with equal ids (repeated rows) are each written, in an unspecified order among themselves; rows
-with a null id are written first; an empty table gives no shard and no row; other columns are pruned.
+rows with equal ids (repeated rows, or different texts) are each written, in the order of their hashes;
+rows with a null id are written first; an empty table gives no shard and no row; other columns are
+pruned.  No other ties arise.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, id_and_text, work_dir, written
+from tessera.llm.common import bounded_batches, clear, id_and_text, work_dir, written
 from tessera.llm.segments import encoded_batches
 
 # Fixed values of the Zstandard and zstd seekable formats.
@@ -76,11 +82,14 @@ class ShardWriter:
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(index) + 1) + bytes([self.width]) + index)
         table = np.array(self.frames, "<u4").tobytes() + struct.pack("<IBI", len(self.frames), 0x80, SEEKABLE_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_SEEK, len(table)) + table)
-        # where the index frame lies, from the end of the file
-        self.out.write(struct.pack("<IIQ", SKIPPABLE_INDEX, 8, len(table) + 8 + len(index) + 9 + 16))
         self.out.close()
         self.fs.move(self.temporary, self.path)
 
+    def abandon(self) -> None:
+        """Remove what a failed attempt has written."""
+        self.out.close()
+        self.fs.delete_file(self.temporary)
+
 
 class ShardReader:
     """Random access to one shard."""
@@ -92,17 +101,18 @@ class ShardReader:
         self.file = self.fs.open_input_file(self.path)
         size = self.file.size()
         self.zstd = zstandard.ZstdDecompressor()
-        magic, n, back = struct.unpack("<IIQ", self.file.read_at(16, size - 16))
-        if (magic, n) != (SKIPPABLE_INDEX, 8):
-            raise ValueError(f"{uri} isn't a token shard")
-        tail = self.file.read_at(back - 16, size - back)
-        _, n = struct.unpack_from("<II", tail)
-        self.width = tail[8]
-        self.index = np.frombuffer(self.zstd.decompress(tail[9 : 8 + n]), _INDEX)
-        count, _, magic = struct.unpack("<IBI", tail[-9:])
+        count, _, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9)) if size > 17 else (0, 0, 0)
         if magic != SEEKABLE_MAGIC:
             raise ValueError(f"{uri} has no seek table")
-        self.frames = np.frombuffer(tail[-9 - 12 * count : -9], "<u4").reshape(-1, 3)
+        table = size - 17 - 12 * count
+        self.frames = np.frombuffer(self.file.read_at(12 * count, table + 8), "<u4").reshape(-1, 3)
+        at = int(self.frames[:, 0].sum(dtype=np.int64))
+        tail = self.file.read_at(table - at, at)
+        magic, n = struct.unpack_from("<II", tail)
+        if magic != SKIPPABLE_INDEX or n + 8 != len(tail):
+            raise ValueError(f"{uri} isn't a token shard")
+        self.width = tail[8]
+        self.index = np.frombuffer(self.zstd.decompress(tail[9:]), _INDEX)
         self.offsets = np.concatenate([[0], np.cumsum(self.frames[:, 0], dtype=np.int64)])
 
     def ids(self, row: int) -> np.ndarray:
@@ -121,29 +131,52 @@ class ShardReader:
         return np.flatnonzero((self.index["doc"] == doc) & (self.index["null"] == 0)).tolist()
 
 
+_ENCODED = "_id long, ids binary, width int, h long, part int, at long"
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write all documents in ascending id order over the shards; returns the shards' manifest.
 
-    One range exchange of the texts puts the ids in order; each task sorts (spilling) and writes one
-    shard.  A task that runs again writes the same bytes under the same name.
+    Each task of the range exchange sorts (spilling) and writes one shard.  A task that runs again
+    writes the same bytes under the same name.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = folder or work_dir(spark)
 
+    def encode(batches):
+        import xxhash
+
+        part, at = TaskContext.get().partitionId(), 0
+        for keys, enc, texts in encoded_batches(batches, tokenizer_path, end_id):
+            hashes = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+            n, at = len(keys), at + len(keys)
+            same = [pa.array(np.full(n, v, np.int32)) for v in (enc.dtype.itemsize, part)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary()), same[0], pa.array(hashes), same[1], pa.array(np.arange(at - n, at))], names=["_id", "ids", "width", "h", "part", "at"])
+
     def write(batches):
         task = TaskContext.get()
         uri, out = f"{folder}/shard-{task.partitionId():06d}.zst", None
-        for keys, enc, texts in encoded_batches(batches, tokenizer_path, end_id):
-            out = out or ShardWriter(uri, str(task.taskAttemptId()), enc.dtype.itemsize)
-            for key, ids in zip(keys, texts):
-                out.add(key, ids)
+        try:
+            for batch in batches:
+                keys, texts, widths = (c.to_pylist() for c in batch.columns[:3])
+                if keys:
+                    out = out or ShardWriter(uri, str(task.taskAttemptId()), widths[0])
+                for key, ids in zip(keys, texts):
+                    out.add(key, ids)
+        except BaseException:
+            if out:
+                out.abandon()
+            raise
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [uri], "docs": [len(out.index)], "tokens": [out.tokens]})
 
-    rows = id_and_text(docs, id_col, text_col).repartitionByRange("_id").sortWithinPartitions("_id")
-    return written(rows.mapInArrow(write, MANIFEST), folder, "manifest")
+    encoded = written(id_and_text(docs, id_col, text_col).mapInArrow(encode, _ENCODED), folder, "encoded")
+    order = ("_id", "h", "part", "at")
+    manifest = written(encoded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST), folder, "manifest")
+    clear(spark, folder, "encoded")
+    return manifest
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

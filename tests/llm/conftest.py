@@ -17,6 +17,11 @@ def awkward_rows():
         (9, "Straße ÉCOLE 东京 \U0001f600 it's we'll 12 345", "de", "s", None, None, None, None, None),
         (10, "One two  three\n four", "en", None, 20, None, None, None, None),
         (10, "One two  three\n four", "en", None, 20, None, None, None, None),
+        (10, "another text under the same id", "en", None, 20, None, None, None, None),
+        (None, "a text without an id <|endoftext|> and more", "en", None, 20, None, None, None, None),
+        (None, "a text without an id <|endoftext|> and more", "en", None, 20, None, None, None, None),
+        (None, "One two  three\n four", None, None, None, None, None, None, None),
+        (12, "hello <|endoftext|> bye <|endoftext|>", None, None, None, None, None, None, None),
         (11, " lead and trail  ", "en", None, 20, None, None, None, None),
     ]
 

@@ -73,7 +73,44 @@ def slow_base(text):
     return [(k, s, e) for s, _, k, e in sorted(out)]
 
 
-def test_secrets(spark, docs):
+def openssh():
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    public = field(b"ssh-ed25519") + field(bytes(32))
+    return b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(b"abcdabcd" + bytes(16))
+
+
+def slow_added(text):
+    """Keys and tokens by trying every start and end of encoded runs: for short texts."""
+    out = set()
+    for i in range(len(text)):
+        if i and (text[i - 1].isascii() and (text[i - 1].isalnum() or text[i - 1] in "+/")):
+            continue
+        for j in range(i + 40, len(text) + 1):
+            run = text[i:j]
+            if j < len(text) and text[j - 1].isalnum() and text[j].isascii() and text[j].isalnum():
+                continue
+            if not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", run):
+                break
+            if re.match(r"[A-Za-z0-9+/=]" if run[-1] != "=" else "=" if run[-2] != "=" else "$^", text[j:]):
+                continue  # the run goes on
+            raws = [base64.b64decode(run.rstrip("=") + "=" * (-len(run.rstrip("=")) % 4))] if len(run.rstrip("=")) % 4 != 1 else []
+            raws += [bytes.fromhex(run)] if re.fullmatch(r"(?:[0-9a-f]{2})+", run) else []
+            for kind, parses in (("der", secret_scan.der_sequence), ("ssh", secret_scan.ssh_key)):
+                out |= {(kind, i, j)} if any(map(parses, raws)) else set()
+    return sorted(out, key=lambda x: (x[1], x[0]))
+
+
+def test_added_spans_by_brute_force():
+    rng = np.random.default_rng(4)
+    parts = [base64.b64encode(der()).decode(), der().hex(), base64.b64encode(openssh()).decode(), "QUJD" * 12, "word", " ", "\n", "é", base64.b64encode(der() + b"x").decode()]
+    for _ in range(25):
+        text = "".join(parts[i] for i in rng.integers(0, len(parts), 6))
+        if re.search("[A-Za-z0-9+/=]\n[A-Za-z0-9+/=]", text):
+            continue  # lines are joined, which the slow finder doesn't try
+        assert [(secret_scan.KINDS[k], s, e) for s, k, e in secret_scan.spans_of(text) if k >= 5] == slow_added(text)
+
+
+def test_secrets(spark, docs, awkward):
     url = lambda raw: base64.urlsafe_b64encode(raw).decode().rstrip("=")
     token = url(json.dumps({"alg": "HS256"}).encode()) + "." + url(b'{"a":1}') + "." + "c2ln"
     ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(32)))
@@ -82,15 +119,25 @@ def test_secrets(spark, docs):
         1: f"é {token}.", 2: f"x {url(b'{not json}')}.{url(b'{}')}.abc", 3: f"key {base64.b64encode(der()).decode()}", 4: f"h {der().hex()} ", 5: pem,
         6: f"ssh-ed25519 {base64.b64encode(ssh).decode()} me", 7: "QUJD" * 20, 8: "PASSWORD = 'abcdefgh1' token=token:abcdefghij paſſword=abcdefghijk AKIA" + "A1" * 8, 9: None, 10: "", 11: "a" * 300_000, 12: "token" + " " * 50_000 + "=x",
     }
+    wrapped = base64.b64encode(der() * 1 + b"").decode()
+    long_der = bytes([0x30, 0x81, 2 + 0x80]) + b"\x04\x7d" + bytes(range(125)) + b"\x02\x01\x05"
+    lines = re.findall(".{1,64}", base64.b64encode(long_der).decode())
+    texts |= {
+        20: "see\n" + "\n".join(lines) + "\nNext words", 21: "u " + url(der() .replace(bytes(32), b"\xfb\xef\xbe" * 10 + b"\xff\xff")) + " v", 22: "x " + base64.b64encode(b"openssh-key-v1\0" + b"junk" * 20).decode(),
+        23: "x " + base64.b64encode(openssh()).decode(), 24: f"y {url(json.dumps({'alg': 'some'}).encode())}.{url(b'{}')}.abc",
+        25: "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + base64.b64encode(bytes(range(64))).decode() + "\n-----END RSA PRIVATE KEY-----",
+        26: f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(b'not a key' * 9).decode()}\n-----END PRIVATE KEY-----", 27: "-----BEGIN A-----" * 2000 + "a:b\n" * 3000, 28: "A" * 64 + "\n" + ("A" * 64 + "\n") * 3000, 29: wrapped + "A",
+    }
     df = spark.createDataFrame([(k, t, 1) for k, t in texts.items()] + [(1, texts[1], 2)], "doc_id long, text string, spans int")
     kinds = {}
     for r in secret_scan.find_secrets(df).collect():
         kinds[r.doc_id] = [s.kind for s in r.spans]
     assert kinds[1] == ["jwt"] and kinds[2] == [] and kinds[3] == ["der"] and kinds[4] == ["hex", "der"] and "pem" in kinds[5]
     assert kinds[6] == ["ssh"] and kinds[7] == [] and kinds[9] == kinds[10] == [] and kinds[11] == ["hex"] and kinds[12] == []
-    for frame in (df, docs, docs.limit(0)):
-        rows = {(r.doc_id, r.text): [(s.kind, s.start, s.end) for s in r.spans if s.kind in ("assign", "access", "hex")] for r in frame.select("doc_id", "text").join(secret_scan.find_secrets(frame), "doc_id").collect()}
-        for (_, text), spans in rows.items():
-            assert spans == slow_base(text or "")
+    added = {k: [x for x in v if x not in ("assign", "access", "hex")] for k, v in kinds.items() if k >= 20}
+    assert added == {20: ["der"], 21: ["der"], 22: [], 23: ["ssh"], 24: [], 25: ["pem"], 26: [], 27: [], 28: [], 29: []}
+    for frame in (df, docs, docs.limit(0), awkward):
+        rows = sorted([(r.doc_id, str([(s.kind, s.start, s.end) for s in r.spans if s.kind in ("assign", "access", "hex")])) for r in secret_scan.find_secrets(frame).collect()], key=str)
+        assert rows == sorted([(r.doc_id, str(slow_base(r.text or ""))) for r in frame.collect()], key=str)
     digest = secret_scan.digest(secret_scan.find_secrets(df)).where("doc_id = 4").head()
     assert digest.n_hex == 1 and digest.spans.startswith("hex:2:") and digest.spans.count(",") == 1
