@@ -7,13 +7,15 @@ be of a kind, and an instance's score with its best pattern.  Patterns that end
 supported discover further identifiers: tokens with digits that stand in the same place but have
 another shape.  Instances count once for a pattern however often a text repeats.
 
-Positions come from splitting a text at the matches: code points, end exclusive.  The patterns are
-written so that no text can make them backtrack: runs are possessive, and a match starts at the start
-of a run or where the last match ended.
-
-Cases: a null text counts as empty and has no span; very long texts are scanned whole; repeated rows
-are each reported; an empty table gives no row; other columns are pruned by the search and kept by
-``redact``.
+Positions come from splitting a text at the matches: code points, end exclusive, by prefix sums over
+the lengths of gaps and matches.  The sums are taken in blocks (``_running``), so that their cost is
+linear in the number of matches.  The patterns are written so that no text can make them backtrack:
+runs are possessive, and a match starts at the start of a run or where the last match ended.
+
+Cases: a null text counts as empty and has no span; a null id stays null; very long texts are scanned
+whole; rows of one id with different texts and repeated rows are each reported; spans that start
+together stand in the order of the kinds; an empty table gives no row; other columns are pruned by the
+search and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -33,23 +35,64 @@ _CARD = r"[0-9](?:[ -]?[0-9]){11,}+"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _TOKEN = r"(?<![A-Za-z0-9._/@+-])[A-Za-z._/@+-]*+[0-9][A-Za-z0-9._/@+-]*+"
 _SPAN = "array<struct<start:int,end:int,value:string,left:string>>"
+_WORD, _MARK = r"[^\s.,;:!?()\"']", r"[\s.,;:!?()\"']"
+#: Elements of a block of prefix sums, and characters of a piece of a text that is redacted.
+BLOCK, PIECE = 64, 1024
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(values: Column) -> Column:
+    """An array cut into arrays of ``BLOCK`` elements."""
+    count = F.ceil(F.size(values) / BLOCK).cast("int")
+    return F.transform(F.slice(F.sequence(F.lit(0), count), F.lit(1), count), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _running(values: Column, merge, zero: Column, depth: int = 2) -> Column:
+    """What ``merge`` makes of all earlier elements, for each element of an array.
+
+    Within a block by aggregation; the blocks' totals are summed up in the same way, so that no element
+    is copied more than ``BLOCK`` times.
+    """
+
+    def plain(array):
+        step = lambda held, v: F.struct(merge(held["at"], v).alias("at"), F.concat(held["out"], F.array(held["at"])).alias("out"))
+        return F.aggregate(array, F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("out")), step)
+
+    if not depth:
+        return plain(values)["out"]
+
+    def whole(blocks):
+        bases = _running(F.transform(blocks, lambda b: b["at"]), merge, zero, depth - 1)
+        return F.flatten(F.zip_with(blocks, bases, lambda b, base: F.transform(b["out"], lambda x: merge(base, x))))
+
+    return _let(values, lambda v: F.when(F.size(v) <= BLOCK, plain(v)["out"]).otherwise(_let(F.transform(_blocks(v), plain), whole)))
+
+
+def _left(gap: Column) -> Column:
+    """The two words at a gap's end, in lower case."""
+    ends = F.reverse(F.regexp_extract(F.reverse(gap), f"^{_MARK}*+{_WORD}++(?:{_MARK}++{_WORD}++)?+", 0))
+    return F.trim(F.regexp_replace(F.lower(ends), f"{_MARK}++", " "))
 
 
 def _spans(pattern: str, guard: Column) -> Column:
     """All matches with their places and the two words before each; the gaps between matches give the places."""
     text = F.col("_text")
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    words = lambda gap: F.array_join(F.slice(F.concat(F.array(F.lit(""), F.lit("")), F.regexp_extract_all(F.lower(F.substring(gap, -80, 80)), F.lit(r"[^\s.,;:!?()\"']+"), F.lit(0))), -2, 2), " ")
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
+
+    def placed(pairs):
+        lengths = F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["value"]))
+        return F.zip_with(pairs, _running(lengths, lambda a, b: a + b, F.lit(0)), span)
 
-    def step(held, pair):
-        start = held["pos"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"), words(pair["gap"]).alias("left"))
-        return F.struct(end.alias("pos"), F.concat(held["out"], F.array(span)).alias("out"))
+    def span(pair, at):
+        start = at + F.length(pair["gap"])
+        return F.struct(start.alias("start"), (start + F.length(pair["value"])).alias("end"), pair["value"].alias("value"), _left(pair["gap"]).alias("left"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out")), step, lambda held: held["out"])
-    return F.when(guard, found).otherwise(F.array().cast(_SPAN))
+    pairs = lambda f: F.zip_with(F.slice(f["gaps"], F.lit(1), F.size(f["values"])), f["values"], lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+    return F.when(guard, _let(_let(found, pairs), placed)).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(value: Column) -> Column:
@@ -76,6 +119,24 @@ def _named(k: int):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["left"].alias("left"))
 
 
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that no base span overlaps: in the order of their starts, each is compared with the furthest
+    end of earlier base spans and the nearest start of later ones."""
+    mark = lambda s, is_base: F.struct(s["start"].alias("start"), F.lit(not is_base).alias("is_token"), s["end"].alias("end"), s["value"].alias("value"), s["left"].alias("left"))
+    far = F.lit((1 << 31) - 1)
+
+    def judged(marks):
+        reach = _running(F.transform(marks, lambda m: F.when(~m["is_token"], m["end"]).otherwise(F.lit(0))), lambda a, b: F.greatest(a, b), F.lit(0))
+        ahead = F.reverse(_running(F.reverse(F.transform(marks, lambda m: F.when(~m["is_token"], m["start"]).otherwise(far))), lambda a, b: F.least(a, b), far))
+        free = F.zip_with(F.zip_with(marks, reach, lambda m, r: F.struct(m.alias("m"), r.alias("r"))), ahead, lambda x, n: F.when(x["m"]["is_token"] & (x["r"] <= x["m"]["start"]) & (n >= x["m"]["end"]), x["m"]))
+        kept = F.filter(free, lambda m: m.isNotNull())
+        return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left")))
+
+    # of equal starts the base span comes first, so that it is an earlier one
+    order = F.array_sort(F.concat(F.transform(base, lambda s: mark(s, True)), F.transform(tokens, lambda s: mark(s, False))))
+    return F.when(F.size(tokens) == 0, tokens).otherwise(_let(order, judged))
+
+
 def scanned(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(_row, _id, base, tokens): base spans with their kinds, and other tokens with digits.
 
@@ -98,8 +159,9 @@ def scanned(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
             )
         )
     )
-    trimmed = F.transform(_spans(_TOKEN, text.rlike("[0-9]")), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(F.rtrim(s["value"], F.lit("._/@+-")))).alias("end"), F.rtrim(s["value"], F.lit("._/@+-")).alias("value"), s["left"].alias("left")))
-    tokens = F.filter(trimmed, lambda c: (F.length(c["value"]) >= 5) & (F.length(_digits(c["value"])) >= 3) & ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    trimmed = F.transform(_spans(_TOKEN, text.rlike("[0-9]")), lambda s: _let(F.rtrim(s["value"], F.lit("._/@+-")), lambda v: F.struct(s["start"].alias("start"), (s["start"] + F.length(v)).alias("end"), v.alias("value"), s["left"].alias("left"))))
+    long_ = F.filter(trimmed, lambda c: (F.length(c["value"]) >= 5) & (F.length(_digits(c["value"])) >= 3))
+    tokens = F.when(F.size("base") == 0, long_).otherwise(_let(long_, lambda t: _apart(t, F.col("base"))))
     return written(rows.withColumn("base", base).withColumn("tokens", tokens).drop("_text"), folder, "scanned")
 
 
@@ -176,11 +238,19 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS * 2))
     text = F.col("_doc")[text_col]
 
-    def step(held, s):
-        fresh = s["start"] >= held["pos"]
-        gap = F.substring(text, held["pos"] + 1, s["start"] - held["pos"])
-        return F.struct(F.greatest(held["pos"], s["end"]).alias("pos"), F.when(fresh, F.concat(held["out"], F.array(gap, F.element_at(marks, s["kind"] + 1)))).otherwise(held["out"]).alias("out"))
+    def clean(pieces):
+        """Gaps between the spans, each from the few pieces of the text that it lies in, and marks."""
+
+        def between(start, end):
+            first = F.floor(start / PIECE).cast("int")
+            held = F.array_join(F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+            return F.when(end > start, F.substring(held, start - first * PIECE + 1, end - start)).otherwise("")
+
+        covered = F.col("covered")
+        parts = F.zip_with("spans", covered, lambda s, at: F.when(s["start"] >= at, F.concat(between(at, s["start"]), F.element_at(marks, s["kind"] + 1))).otherwise(""))
+        last = F.array_max(F.transform("spans", lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), between(last, F.length(text)))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("spans", zero, step, lambda held: F.array_join(F.concat(held["out"], F.array(F.substring(text, held["pos"] + 1, F.lit((1 << 31) - 1)))), ""))
-    return spans.select(*(F.when(F.size("spans") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns))
+    redacted = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), clean)
+    spans = spans.withColumn("covered", _running(F.transform("spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0)))
+    return spans.select(*(F.when(F.size("spans") > 0, redacted).otherwise(text).alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns))
