@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch at most, so that a Python worker's memory doesn't follow the text lengths.
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
-#: Bits of a bitmap that travels to the scans, whatever the input's size.
-BITMAP = 1 << 23
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -78,46 +76,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def place(*columns) -> Column:
-    """A row's bit in a bitmap."""
-    return F.pmod(F.xxhash64(*columns), F.lit(BITMAP))
+def fresh(names: list[str]) -> str:
+    """A column name that none of ``names`` clashes with."""
+    return "_" + "_".join(names)
 
 
-def bitmap(places: DataFrame) -> np.ndarray:
-    """The bits named by a column ``at``, as 64-bit words."""
-    words = places.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    out = np.zeros(BITMAP // 64, np.int64)
-    for row in words.toLocalIterator():  # BITMAP / 64 rows at most
-        out[row["word"]] = row["bits"]
-    return out.view(np.uint64)
+def keyed(docs: DataFrame, folder: str) -> tuple[DataFrame, str]:
+    """``docs`` written with a key to each row, and the key's name.
 
-
-def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    The key holds the writing task's number in its upper bits and the row's place there in the lower 33;
+    once written it stays, whatever is read again.
+    """
+    own = fresh(docs.columns)
+    return written(docs.withColumn(own, F.monotonically_increasing_id()), folder, "keyed"), own
 
 
-def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id isn't in the one column of ``gone``.
+def picked(rows: DataFrame, own: str, some: DataFrame, folder: str, name: str, but: bool = False) -> DataFrame:
+    """The rows of a ``keyed`` table whose key is in the one column of ``some`` (or, with ``but``, isn't).
 
-    Rows whose bit no gone id sets stay where they are; only the others, gone or sharing a bit, go to
-    an exact anti join.  So texts of rows that stay are hardly ever shuffled.
+    The keys are written to a folder for each task number, and who reads rows of that number reads the
+    folder: each row meets its own part's keys alone.  Nothing is broadcast, and no row of the table moves.
     """
-    own = "_" + "_".join(docs.columns)  # longer than any column's name, so none clashes
-    gone = gone.toDF(own).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(place(own).alias("at"))))
-    marked = docs.select("*", place(docs[id_col].cast("long")).alias(own))
-
-    def rows(hit: bool):
-        def run(batches):
-            for batch in batches:
-                at = batch.column(batch.num_columns - 1).to_numpy()
-                kept = pa.array(is_set(bits.value, at) == hit)
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(kept)
-
-        return marked.mapInArrow(run, docs.schema)
-
-    doubtful = rows(True)
-    return rows(False).unionAll(doubtful.join(gone, doubtful[id_col] == gone[own], "left_anti"))
+    spark, part = rows.sparkSession, 33
+    path = f"{folder}/{name}"
+    keys = some.toDF("key").withColumn("part", F.shiftright("key", part))
+    # all keys of a part come together: as many as a task wrote rows
+    keys.repartition("part").sortWithinPartitions("part").write.partitionBy("part").option("compression", "zstd").parquet(path)
+    at = rows.columns.index(own)
+
+    def run(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, root = file_system(path)
+        held: dict[int, np.ndarray] = {}
+
+        def keys_of(number: int) -> np.ndarray:
+            if number not in held:
+                if len(held) > 8:
+                    held.clear()
+                files = store.get_file_info(fs.FileSelector(f"{root}/part={number}", allow_not_found=True))
+                read = [pq.read_table(f.path, filesystem=store, columns=["key"], partitioning=None).column("key").to_numpy() for f in files if f.path.endswith(".parquet")]
+                held[number] = np.sort(np.concatenate(read)) if read else np.empty(0, np.int64)
+            return held[number]
+
+        for batch in batches:
+            key = batch.column(at).to_numpy()
+            hit = np.zeros(len(key), bool)
+            for number in np.unique(key >> part).tolist():
+                own_keys, mine = keys_of(number), key >> part == number
+                place = np.searchsorted(own_keys, key[mine])
+                hit[mine] = (place < len(own_keys)) & (own_keys[np.minimum(place, len(own_keys) - 1)] == key[mine]) if len(own_keys) else False
+            yield batch.filter(pa.array(hit != but))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def file_system(uri: str):
+    """Any store that pyarrow knows (file, hdfs, s3, gs) and the path there, by its address."""
+    from pyarrow import fs
+
+    if "://" not in uri:
+        uri = "file://" + uri if uri.startswith("/") else uri
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)
 
 
 #: Keys with over this share of all rows are hot; there are fewer than its inverse of them.

@@ -11,8 +11,11 @@ joined to components by distributed star steps.
 
 Cases: a null or empty text, or one of white space, has fingerprint zero and is linked like any
 other; fewer words than a shingle form one shingle; very long texts are hashed whole in slices;
-repeated rows share a fingerprint; an empty table gives no row; rows with a null id get a component
-by their fingerprint's other rows (null if there are none); other columns are pruned.
+repeated rows, and rows of one id with different texts, each have their own fingerprint; an empty table
+gives no row; rows with a null id get a component by their component's other rows (null if there are
+none); other columns are pruned.  ``drop_near_duplicates`` tells rows apart by a key of their own: it
+keeps one row of each component, that with the least id (a null id only where there is no other; of
+rows that share that id one).
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, id_and_text, join_groups, without, work_dir, written
+from tessera.llm.common import bounded_batches, id_and_text, join_groups, keyed, picked, work_dir, written
 from tessera.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -63,18 +66,17 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0]) if n else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(_id, fp) of every row; fp is the fingerprint's bits as a signed long."""
-    bounded_batches(docs.sparkSession)
+def fingerprints(rows: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(_row, _id, fp) of (_row, _id, _text); fp is the fingerprint's bits as a signed long."""
+    bounded_batches(rows.sparkSession)
 
     def run(batches):
         for batch in batches:
-            keys, texts = batch.columns
+            row, keys, texts = batch.columns
             found = np.array([fingerprint(t.as_buffer().to_pybytes(), width) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(found.view(np.int64))], names=["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([row, keys, pa.array(found.view(np.int64))], names=["_row", "_id", "fp"])
 
-    rows = id_and_text(docs, id_col, text_col).select("_id", F.col("_text").cast("binary").alias("_text"))
-    return rows.mapInArrow(run, "_id long, fp long")
+    return rows.select("_row", "_id", F.col("_text").cast("binary").alias("_text")).mapInArrow(run, "_row long, _id long, fp long")
 
 
 def tile_of(fps: np.ndarray) -> np.ndarray:
@@ -229,23 +231,36 @@ def links(distinct: DataFrame, radius: int, folder: str) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (signed bits), component_id of every row."""
-    folder = work_dir(docs.sparkSession)
-    rows = written(fingerprints(docs, id_col, text_col, width), folder, "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("_id").alias("least"), F.count("*").alias("size")), folder, "classes")
+def _least(column: str, by: str) -> Column:
+    """The value of ``column`` at the least ``by``; nulls there come last."""
+    return F.coalesce(F.min_by(column, by), F.min(column))
+
+
+def grouped(rows: DataFrame, folder: str, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """_row, _id, fp, component_id and keep_row (the row that stands for the component) of (_row, _id, _text)."""
+    marked = written(fingerprints(rows, width), folder, "fingerprints")
+    classes = written(marked.groupBy("fp").agg(F.min("_id").alias("least"), _least("_row", "_id").alias("row"), F.count("*").alias("size")), folder, "classes")
     joined = components(links(classes, radius, folder), folder)  # (fingerprint, least fingerprint of its component)
-    # the least id of each component; fingerprints without a link are components of their own
+    # fingerprints without a link are components of their own
     ends = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct())
     with_ids = classes.join(ends, classes["fp"] == ends["node"])
-    least = with_ids.groupBy("component").agg(F.min("least").alias("component_id"))
-    member = ends.join(least, "component").select(F.col("node").alias("m_fp"), "component_id")
-    place = classes.join(member, classes["fp"] == member["m_fp"], "left").select(F.col("fp").alias("c_fp"), F.coalesce("component_id", "least").alias("component_id"), "size")
+    least = with_ids.groupBy("component").agg(F.min("least").alias("component_id"), _least("row", "least").alias("keep_row"))
+    member = ends.join(least, "component").select(F.col("node").alias("m_fp"), "component_id", "keep_row")
+    place = classes.join(member, classes["fp"] == member["m_fp"], "left").select(F.col("fp").alias("c_fp"), F.coalesce("component_id", "least").alias("component_id"), F.coalesce("keep_row", "row").alias("keep_row"), "size")
     place = written(place, folder, "places")
-    return join_groups(rows, "fp", place, "c_fp", "size").select(F.col("_id").alias("doc_id"), "fp", "component_id")
+    return join_groups(marked, "fp", place, "c_fp", "size").select("_row", "_id", "fp", "component_id", "keep_row")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp (signed bits), component_id of every row."""
+    rows = id_and_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("_row"), "_id", "_text")
+    return grouped(rows, work_dir(docs.sparkSession), width, radius).select(F.col("_id").alias("doc_id"), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The row with the least id of each component, with all its columns; ids are taken to be unique."""
-    gone = near_groups(docs, id_col, text_col, width, radius).where("doc_id <> component_id").select("doc_id")
-    return without(docs, id_col, written(gone, work_dir(docs.sparkSession), "gone"))
+    """One row of each component, with all its columns."""
+    folder = work_dir(docs.sparkSession)
+    rows, own = keyed(docs, folder)
+    named = rows.select(rows[own].alias("_row"), rows[id_col].cast("long").alias("_id"), F.coalesce(rows[text_col].cast("string"), F.lit("")).alias("_text"))
+    gone = grouped(named, folder, width, radius).where("_row <> keep_row").select("_row")
+    return picked(rows, own, gone, folder, "gone", but=True).drop(own)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, clear, id_and_text, work_dir, written
+from tessera.llm.common import bounded_batches, clear, file_system, id_and_text, work_dir, written
 from tessera.llm.segments import encoded_batches
 
 # Fixed values of the Zstandard and zstd seekable formats.
@@ -41,24 +41,13 @@ _INDEX = np.dtype([("doc", "<i8"), ("null", "u1"), ("start", "<i8"), ("tokens",
 MANIFEST = "shard int, path string, docs long, tokens long"
 
 
-def _file_system(uri: str):
-    """Any store that pyarrow knows (file, hdfs, s3, gs), by its address."""
-    from pyarrow import fs
-
-    if "://" not in uri:
-        uri = "file://" + uri if uri.startswith("/") else uri
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
-
-
 class ShardWriter:
     """Writes one shard; the final name appears only once the file is whole."""
 
     def __init__(self, uri: str, attempt: str, width: int, level: int = 3):
         import zstandard
 
-        self.fs, self.path = _file_system(uri)
+        self.fs, self.path = file_system(uri)
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.temporary = f"{self.path}.{attempt}.part"
         self.out = self.fs.open_output_stream(self.temporary)
@@ -97,7 +86,7 @@ class ShardReader:
     def __init__(self, uri: str):
         import zstandard
 
-        self.fs, self.path = _file_system(uri)
+        self.fs, self.path = file_system(uri)
         self.file = self.fs.open_input_file(self.path)
         size = self.file.size()
         self.zstd = zstandard.ZstdDecompressor()
