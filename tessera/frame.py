@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.udf import merged
 from tessera.operators import aggregation, relational
 from tessera.plans import dialect
 
@@ -22,8 +23,7 @@ class Frame:
     def _col(self, e: str | Column) -> Column:
         if isinstance(e, Column):
             return e
-        integral = {n for n, t in self.df.dtypes if t in ("tinyint", "smallint", "int", "bigint")}
-        return F.expr(dialect.expression(e, integral))
+        return dialect.column(e, self.df)
 
     # -- projection and filter ----------------------------------------------------------------
 
@@ -63,6 +63,10 @@ class Frame:
     def aggregate(self, keys: list, aggregates: list) -> Frame:
         return self._new(self.df.groupBy(*map(self._col, keys)).agg(*map(self._col, aggregates)))
 
+    def aggregate_merging(self, keys: list[str], arguments: list[str], made, name: str, returns: str) -> Frame:
+        """A user aggregate (``functions.udf.Merging``) by keys."""
+        return self._new(merged(self.df, keys, arguments, made, name, returns))
+
     def window(self, *exprs) -> Frame:
         return self._new(self.df.select("*", *map(self._col, exprs)))
 
@@ -146,18 +150,28 @@ class Frame:
     def collect(self):
         return self.df.toArrow()
 
-    def collect_partitioned(self) -> list:
-        """Rows by partition."""
-        part = self.df.withColumn("__part", F.spark_partition_id()).collect()
-        out: dict[int, list] = {}
-        for row in part:
-            out.setdefault(row["__part"], []).append(row[:-1])
-        return [out[k] for k in sorted(out)]
+    def collect_partitioned(self) -> list[list]:
+        """Rows by partition, as ``execute_stream_partitioned`` but all at once: for results that fit the driver."""
+        return [list(rows) for rows in self.execute_stream_partitioned()]
 
     def execute_stream(self):
         return self.df.toLocalIterator(prefetchPartitions=True)
 
-    execute_stream_partitioned = execute_stream
+    def execute_stream_partitioned(self) -> list:
+        """An iterator to each partition of the frame's plan, in their order."""
+        import itertools
+
+        marked = self.df.withColumn("__part", F.spark_partition_id())
+        runs = itertools.groupby(marked.toLocalIterator(), key=lambda r: r["__part"])
+        return ((tuple(r)[:-1] for r in rows) for _, rows in runs)
+
+    def coalesce(self, n: int) -> Frame:
+        """At most ``n`` partitions, without a shuffle."""
+        return self._new(self.df.coalesce(n))
+
+    def into_parts(self) -> tuple:
+        """The session and the plan."""
+        return self.session, self.logical_plan()
 
     def show(self, n: int = 20) -> None:
         self.df.show(n, truncate=False)

@@ -23,10 +23,16 @@ def _sorted(value: str, keys, distinct: bool) -> str:
 
 
 def _first(value: str, keys) -> str:
+    """The value of the first row: a running minimum or maximum, unless the keys run in different directions."""
     if len(keys) == 1 and not keys[0][1] and not keys[0][2]:
         return f"min_by({value}, {keys[0][0]})"
     if len(keys) == 1 and keys[0][1] and not keys[0][2]:
         return f"max_by({value}, {keys[0][0]})"
+    if len({down for _, down, _ in keys}) == 1:
+        down = keys[0][1]
+        # where NULL counts as the larger side, the mark of NULL is compared before the key
+        parts = [f"({e}) IS {'' if first == down else 'NOT '}NULL, {e}" for e, _, first in keys]
+        return f"{'max' if down else 'min'}_by({value}, struct({', '.join(parts)}))"
     return f"get({_sorted(value, keys, False)}, 0)"
 
 

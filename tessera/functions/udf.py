@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import asyncio
+import functools
 import hashlib
+import pickle
 from collections.abc import Awaitable, Callable, Iterator
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,6 +48,66 @@ def aggregate(returns: str, function: Callable[[pd.Series], object]):
     return F.pandas_udf(run, returns)
 
 
+class Merging:
+    """A user aggregate with a state: subclasses say how it starts, takes values, merges and ends.
+
+    States are pickled on their way between tasks; ``merge`` may come in any order.
+    """
+
+    def zero(self):
+        raise NotImplementedError
+
+    def update(self, state, values: pd.DataFrame):
+        """The state after a group's values of one batch, one column to an argument."""
+        raise NotImplementedError
+
+    def merge(self, a, b):
+        raise NotImplementedError
+
+    def evaluate(self, state):
+        raise NotImplementedError
+
+
+#: Groups that a task holds states of before it hands them on.
+_STATES = 50_000
+
+
+def merged(df: DataFrame, keys: list[str], arguments: list[str], made: Merging, name: str, returns: str) -> DataFrame:
+    """``keys`` and the aggregate: each task updates one state to a group, and only states are shuffled.
+
+    A group of any size reaches its merging task as a state to each task that met it.
+    """
+    kinds = dict(df.dtypes)
+    listed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, object] = {}
+
+        def hand_on():
+            rows = [(*(None if v is _NULL else v for v in k), pickle.dumps(s)) for k, s in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*keys, "state"])
+
+        for batch in batches:
+            for key, rows in batch.groupby(keys, dropna=False, sort=False) if keys else [((), batch)]:
+                key = tuple(_NULL if v is None or v != v else v for v in key)
+                held[key] = made.update(held[key] if key in held else made.zero(), rows[arguments])
+            if len(held) > _STATES:
+                yield hand_on()
+        if held:
+            yield hand_on()
+
+    def final(group: pd.DataFrame) -> pd.DataFrame:
+        state = functools.reduce(made.merge, map(pickle.loads, group["state"]))
+        return pd.DataFrame([(*(group[k].iloc[0] for k in keys), made.evaluate(state))], columns=[*keys, name])
+
+    states = df.select(*keys, *(a for a in arguments if a not in keys)).mapInPandas(partial, f"{listed + ', ' if keys else ''}state binary")
+    return states.groupBy(*keys).applyInPandas(final, f"{listed + ', ' if keys else ''}`{name}` {returns}")
+
+
+_NULL = "\0null"
+
+
 def digest_function():
     """blake2b, blake2s (and blake3 where its module is there) of binary values."""
 

@@ -38,8 +38,3 @@ def ntile(n: int, partition: list[str], order: list[Column]) -> Column:
     place = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1
     return (F.floor(place * F.least(F.lit(n), rows) / rows) + 1).cast("bigint")
 
-
-def salted_sum(df: DataFrame, keys: list[str], value: str, salts: int = 16) -> DataFrame:
-    """A sum in two levels, for keys so hot that one reducer is too few even after partial aggregation."""
-    first = df.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(salts)).alias("__salt")).agg(F.sum(value).alias("__part"))
-    return first.groupBy(*keys).agg(F.sum("__part").alias("total"))

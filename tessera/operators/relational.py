@@ -29,10 +29,11 @@ def join_on(left: DataFrame, right: DataFrame, how: str, on: Column | None) -> D
 
 
 def mark_join(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-    """Each left row with whether it has a partner: matching row numbers are found by semi join, once each."""
-    numbered = left.withColumn("__row", F.monotonically_increasing_id())
-    hit = numbered.join(right, on, "left_semi").select(F.col("__row").alias("__hit"))
-    return numbered.join(hit, F.col("__row") == F.col("__hit"), "left").withColumn("mark", F.col("__hit").isNotNull()).drop("__row", "__hit")
+    """Each left row with whether it has a partner: the left rows with one and those without, united.
+
+    Rows pass by their own values, not by numbers, so both branches agree whatever order they run in.
+    """
+    return left.join(right, on, "left_semi").withColumn("mark", F.lit(True)).unionAll(left.join(right, on, "left_anti").withColumn("mark", F.lit(False)))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, how: str, left_on: list[str], right_on: list[str]) -> DataFrame:
@@ -106,3 +107,31 @@ def fixpoint(seed: DataFrame, step, folder: str, distinct: bool = True, rounds:
             break
         found = found.unionAll(new)
     return found
+
+
+_RECURSIVE = r"\s*WITH\s+RECURSIVE\s+(\w+)\s*(\([^()]*\))?\s+AS\s*\("
+
+
+def split_recursion(sql: str) -> tuple[str, list[str], str, str, str] | None:
+    """(name, columns, seed, step, rest) of ``WITH RECURSIVE name AS (seed UNION step) rest`` with a UNION that isn't ALL."""
+    import re
+
+    m = re.match(_RECURSIVE, sql, re.I)
+    if not m:
+        return None
+    depth, union = 1, None
+    for t in re.finditer(r"'(?:[^']|'')*'|\"[^\"]*\"|[()]|\bUNION\b(\s+ALL\b|\s+DISTINCT\b)?", sql[m.end() :], re.I):
+        if t[0] in "()":
+            depth += 1 if t[0] == "(" else -1
+            if not depth:
+                break
+        elif depth == 1 and t[0][0] not in "'\"":
+            union = t
+    if union is None or (union[1] or "").strip().upper() == "ALL":
+        return None
+    body, at = sql[m.end() :], m.end()
+    rest = sql[at + t.end() :]
+    if rest.lstrip().startswith(","):
+        return None
+    columns = [c.strip() for c in (m[2] or "()")[1:-1].split(",") if c.strip()]
+    return m[1], columns, body[: union.start()], body[union.end() : t.start()], rest

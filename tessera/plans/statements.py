@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans import dialect
-from tessera.sources import files
+from tessera.sources import files, scratch
 
 _OPT = r"(?:\s+OPTIONS\s*\((?P<options>.*?)\))?"
 _COPY = re.compile(rf"COPY\s+(?P<source>\(.*\)|[\w.\"]+)\s+TO\s+'(?P<path>[^']+)'(?:\s+STORED\s+AS\s+(?P<form>\w+))?(?:\s+PARTITIONED\s+BY\s*\((?P<parts>[^)]*)\))?{_OPT}\s*$", re.I | re.S)
@@ -48,7 +48,7 @@ def copy(session, sql: str, params) -> DataFrame:
     source = m["source"]
     df = session.query(source[1:-1], params) if source.startswith("(") else session.spark.table(source.strip('"'))
     parts = [p.strip() for p in (m["parts"] or "").split(",") if p.strip()]
-    n = files.write(df, m["path"], (m["form"] or files.form_of(m["path"])).lower(), partition_by=parts, **_options(m["options"]))
+    n = files.write(df, m["path"], (m["form"] or files.form_of(m["path"])).lower(), partition_by=parts, mode="append", **_options(m["options"]))
     return _rows(session, [(n,)], "count long")
 
 
@@ -74,7 +74,8 @@ def create(session, sql: str, params) -> DataFrame | None:
         return _rows(session, [], "ok string")
     m = re.match(r"CREATE\s+(OR\s+REPLACE\s+)?TABLE\s+(IF\s+NOT\s+EXISTS\s+)?([\w.]+)\s+AS\s+(.*)$", sql, re.I | re.S)
     if m:
-        session.register_table(m[3], session.query(m[4], params))
+        # the rows as they are now: later changes of the sources don't show
+        session.register_table(m[3], scratch.stored(session.query(m[4], params), scratch.folder(session.spark, "table")))
         return _rows(session, [], "ok string")
     m = re.match(r"CREATE\s+(OR\s+REPLACE\s+)?VIEW\s+([\w.]+)\s+AS\s+(.*)$", sql, re.I | re.S)
     if m:
@@ -82,7 +83,11 @@ def create(session, sql: str, params) -> DataFrame | None:
         return _rows(session, [], "ok string")
     m = re.match(r"CREATE\s+(OR\s+REPLACE\s+)?(TEMPORARY\s+)?FUNCTION\s+(\w+)\s*\(([^)]*)\)\s*RETURNS\s+(\w+)\s+RETURN\s+(.*)$", sql, re.I | re.S)
     if m:
-        session.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {m[3]}({m[4]}) RETURNS {m[5]} RETURN {dialect.expression(m[6])}")
+        # the parameters as columns of a frame, whose types the divisions follow
+        given = [x.split(None, 1) for x in m[4].split(",") if x.strip()]
+        frame = session.spark.range(0).select(*(F.expr(f"CAST(NULL AS {kind}) AS {name}") for name, kind in given))
+        body = dialect.divided(lambda d: dialect.expression(m[6], d), lambda t: frame.select(F.expr(t))._jdf.queryExecution().analyzed())
+        session.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {m[3]}({m[4]}) RETURNS {m[5]} RETURN {body}")
         return _rows(session, [], "ok string")
     return None
 
@@ -107,6 +112,7 @@ def insert(session, sql: str, params) -> DataFrame | None:
     names = [c.strip() for c in m[3][1:-1].split(",")] if m[3] else old.columns[: len(new.columns)]
     kinds = dict(old.dtypes)
     new = new.toDF(*names).select(*((F.col(c) if c in names else F.lit(None)).cast(kinds[c]).alias(c) for c in old.columns))
+    new = scratch.stored(new, scratch.folder(session.spark, "rows"))  # the query runs once
     count = new.count()
     session.register_table(m[2], new if m[1].upper() == "OVERWRITE" else old.unionAll(new))
     return _rows(session, [(count,)], "count long")
@@ -120,9 +126,8 @@ def prepare(session, sql: str, params) -> DataFrame:
 
 def execute(session, sql: str, params) -> DataFrame:
     m = re.match(r"EXECUTE\s+(\w+)\s*(?:\((.*)\))?$", sql, re.I | re.S)
-    values = [dialect.expression(x) for x in re.split(r",(?=(?:[^']*'[^']*')*[^']*$)", m[2])] if m[2] else []
-    text = re.sub(r"\$(\d+)", lambda k: f"({values[int(k[1]) - 1]})", session._prepared[m[1]])
-    return session.query(text)
+    given = dialect.split_items(dialect.grouped(dialect.tokens(m[2]))) if m[2] else []
+    return session.query(session._prepared[m[1]], values={f"${k}": f"({dialect.Translator().text(x)})" for k, x in enumerate(given, 1)})
 
 
 def deallocate(session, sql: str, params) -> DataFrame:

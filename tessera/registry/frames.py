@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregation, relational
+from tessera.operators import aggregation
 from tessera.registry import in_sql, session
 
 SQL: dict[str, tuple[str, str | None]] = {
@@ -62,7 +61,26 @@ SQL: dict[str, tuple[str, str | None]] = {
     "subquery_exists": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
     "subquery_exists_or": ("SELECT c_custkey FROM customer WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)", None),
     "unnest_select": ("SELECT p_partkey, unnest(string_to_array(p_name, ' ')) AS w FROM part", None),
-    "unnest_zip": ("SELECT p_partkey, unnest(string_to_array(p_name, ' '), [p_size, 2, 3]) AS (a, b) FROM part", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS a, unnest([p_size, 2, 3]) AS b FROM part"),
+    "unnest_zip": ("SELECT p_partkey, unnest(string_to_array(p_name, ' ')) AS a, unnest([p_size, 2, 3]) AS b FROM part", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS a, unnest([p_size, 2, 3]) AS b FROM part"),
+    "unnest_zip_apart": ("SELECT unnest([p_size, 1]) AS a, p_partkey, unnest(string_to_array(p_name, ' ')) AS b FROM part", "SELECT unnest([p_size, 1]) AS a, p_partkey, unnest(string_split(p_name, ' ')) AS b FROM part"),
+    "win_groups_frame": ("SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM orders", None),
+    "win_groups_frame_sum": ("SELECT o.o_orderkey, CAST(sum(o.o_orderkey) OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderpriority GROUPS 1 PRECEDING) AS BIGINT) AS v FROM orders o WHERE o.o_orderkey > 10", None),
+    "win_nth_from_end": ("SELECT o_orderkey, nth_value(o_orderkey, -2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v FROM orders", "SELECT o_orderkey, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v FROM orders"),
+    "win_nth_from_end_default_frame": ("SELECT o_orderkey, nth_value(o_orderkey, -1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS v FROM orders", "SELECT o_orderkey, o_orderkey AS v FROM orders"),
+    "win_array_agg_ordered": ("SELECT n_nationkey, array_to_string(array_agg(n_name ORDER BY n_name DESC) OVER (PARTITION BY n_regionkey), ',') AS v FROM nation", "SELECT n_nationkey, (SELECT string_agg(m.n_name, ',' ORDER BY m.n_name DESC) FROM nation m WHERE m.n_regionkey = n.n_regionkey) AS v FROM nation n"),
+    "select_star_ilike": ("SELECT * ILIKE 'p_%PRICE' FROM part", "SELECT p_retailprice FROM part"),
+    "set_union_by_name_nested": ("SELECT b, count(*) AS n FROM (SELECT n_name AS a, n_nationkey AS b FROM nation UNION ALL BY NAME SELECT r_regionkey AS b, r_name AS c FROM region) u GROUP BY b", None),
+    "set_union_by_name_cte": ("WITH x AS (SELECT n_nationkey AS b FROM nation), y AS (SELECT b FROM x UNION BY NAME SELECT r_regionkey AS b, r_name AS c FROM region) SELECT b, c FROM y", None),
+    "cte_recursive_distinct": ("WITH RECURSIVE t(a, b) AS (SELECT n_nationkey, (n_nationkey * 7 + 3) % 25 FROM nation WHERE n_nationkey < 5 UNION SELECT t.a, (t.b * 7 + 3) % 25 FROM t) SELECT a, b FROM t", None),
+    "agg_first_value_two_keys": ("SELECT o_custkey, first_value(o_orderkey ORDER BY o_orderpriority DESC, o_orderkey DESC) AS a, last_value(o_orderkey ORDER BY nullif(o_orderpriority, '1-URGENT'), o_orderkey) AS b FROM orders GROUP BY o_custkey", "SELECT o_custkey, first(o_orderkey ORDER BY o_orderpriority DESC, o_orderkey DESC) AS a, last(o_orderkey ORDER BY nullif(o_orderpriority, '1-URGENT') NULLS LAST, o_orderkey) AS b FROM orders GROUP BY o_custkey"),
+    # rank errors: at most two of a hundred rows and one row
+    "agg_approx_percentile_rank": ("WITH q AS (SELECT p_brand AS brand, approx_percentile_cont(0.9) WITHIN GROUP (ORDER BY p_retailprice) AS at FROM part GROUP BY p_brand) SELECT brand, count(*) FILTER (WHERE p_retailprice <= at) >= 0.88 * count(*) - 1 AND count(*) FILTER (WHERE p_retailprice < at) <= 0.92 * count(*) + 1 AS fits FROM q JOIN part ON p_brand = brand GROUP BY brand", "SELECT DISTINCT p_brand AS brand, true AS fits FROM part"),
+    "agg_approx_percentile_weighted_rank": ("WITH q AS (SELECT p_brand AS brand, approx_percentile_cont_with_weight(p_size, 0.5) WITHIN GROUP (ORDER BY p_retailprice) AS at FROM part GROUP BY p_brand) SELECT brand, sum(p_size) FILTER (WHERE p_retailprice <= at) >= 0.48 * sum(p_size) - 50 AND coalesce(sum(p_size) FILTER (WHERE p_retailprice < at), 0) <= 0.52 * sum(p_size) + 50 AS fits FROM q JOIN part ON p_brand = brand GROUP BY brand", "SELECT DISTINCT p_brand AS brand, true AS fits FROM part"),
+    # integer division by type
+    "fn_integer_division_aggregate": ("SELECT p_brand, count(*) / 3 AS a, CAST(sum(p_size) / count(*) AS BIGINT) AS b FROM part GROUP BY p_brand", "SELECT p_brand, count(*) // 3 AS a, CAST(sum(p_size) // count(*) AS BIGINT) AS b FROM part GROUP BY p_brand"),
+    "fn_integer_division_cte": ("WITH t AS (SELECT p_partkey, p_partkey * 3 / 2 AS k, p_retailprice AS d FROM part) SELECT p_partkey, k / 2 / 2 AS a, d / 2 AS b FROM t", "WITH t AS (SELECT p_partkey, p_partkey * 3 // 2 AS k, p_retailprice AS d FROM part) SELECT p_partkey, k // 2 // 2 AS a, d / 2 AS b FROM t"),
+    "fn_integer_division_call": ("SELECT p_partkey, length(p_name) / 2 AS a, CASE WHEN p_size > 9 THEN p_size ELSE 1 END / 4 AS b, sum(p_size) OVER (PARTITION BY p_brand) / 7 AS c FROM part", "SELECT p_partkey, length(p_name) // 2 AS a, CASE WHEN p_size > 9 THEN p_size ELSE 1 END // 4 AS b, CAST(sum(p_size) OVER (PARTITION BY p_brand) // 7 AS BIGINT) AS c FROM part"),
+    "fn_integer_division_cast": ("SELECT p_partkey, CAST(p_size AS BIGINT) / 2 AS a, p_size::DOUBLE / 2 AS b, -p_size / 2 AS c FROM part", "SELECT p_partkey, CAST(p_size AS BIGINT) // 2 AS a, p_size::DOUBLE / 2 AS b, -(p_size // 2) AS c FROM part"),
     "generate_series_table": ("SELECT value FROM generate_series(1, 20, 3)", "SELECT CAST(generate_series AS INT) AS value FROM generate_series(1, 20, 3)"),
     "range_table": ("SELECT value * 2 AS v FROM range(0, 10)", "SELECT CAST(range * 2 AS INT) AS v FROM range(0, 10)"),
     "generate_series_dates": ("SELECT value FROM generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-03 00:00:00', INTERVAL '6 hours')", "SELECT generate_series AS value FROM generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-03 00:00:00', INTERVAL '6 hours')"),
@@ -87,23 +105,11 @@ def join_hints(spark, sf_dir):
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
-def groups_frame(spark, sf_dir):
-    _, t = _frames(spark, sf_dir)
-    o = t("orders").df
-    return aggregation.groups_frame(o, ["o_orderstatus"], [F.col("o_orderpriority")], -1, 1, F.count("*"), "v").select("o_orderkey", "v")
-
-
 def ntile_even(spark, sf_dir):
     _, t = _frames(spark, sf_dir)
     return t("part").df.select("p_partkey", aggregation.ntile(4, ["p_brand"], [F.col("p_partkey")]).alias("v"))
 
 
-def nth_from_end(spark, sf_dir):
-    _, t = _frames(spark, sf_dir)
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return t("orders").df.select("o_orderkey", F.nth_value("o_orderkey", 2).over(w).alias("v"))
-
-
 def unnest_frame(spark, sf_dir):
     s, _ = _frames(spark, sf_dir)
     f = s.sql("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN array_remove_all([p_size], p_size) ELSE [p_size, 1] END AS a FROM part")
@@ -115,15 +121,6 @@ def unnest_struct(spark, sf_dir):
     return s.sql("SELECT p_partkey, {x: p_size, y: p_name} AS s FROM part").unnest_columns("s").df.toDF("p_partkey", "x", "y")
 
 
-def recursive_distinct(spark, sf_dir):
-    """Reachability over a graph with cycles: recursion with UNION."""
-    from tessera.streaming.queries import _checkpoint
-
-    _, t = _frames(spark, sf_dir)
-    edges = t("nation").df.select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("b"))
-    return relational.fixpoint(edges.where("a < 5"), lambda new: new.alias("n").join(edges.alias("e"), F.col("n.b") == F.col("e.a")).select(F.col("n.a"), F.col("e.b")), _checkpoint(spark))
-
-
 def frame_chain(spark, sf_dir):
     _, t = _frames(spark, sf_dir)
     f = t("lineitem").filter("l_quantity > 10").with_column("net", "l_extendedprice * (1 - l_discount)").aggregate(["l_returnflag"], ["count(*) AS n", "round(sum(net), 4) AS net"])
@@ -169,12 +166,9 @@ def frame_drop(spark, sf_dir):
 FRAMES = {
     "join_mark": (mark_join, "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS mark FROM customer"),
     "join_algorithms": (join_hints, "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s, h FROM orders JOIN customer ON o_custkey = c_custkey CROSS JOIN (VALUES ('broadcast'), ('shuffle_hash'), ('merge')) v(h) GROUP BY h"),
-    "win_groups_frame": (groups_frame, "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM orders"),
     "win_ntile_even": (ntile_even, "SELECT p_partkey, CAST(floor((row_number() OVER w - 1) * least(4, n) / n) + 1 AS BIGINT) AS v FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)"),
-    "win_nth_from_end": (nth_from_end, "SELECT o_orderkey, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v FROM orders"),
     "unnest_preserve_nulls": (unnest_frame, "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE unnest([p_size, 1]) END AS a FROM part WHERE p_size % 3 = 2 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_size % 3 = 0"),
     "unnest_struct": (unnest_struct, "SELECT p_partkey, p_size AS x, p_name AS y FROM part"),
-    "cte_recursive_distinct": (recursive_distinct, "WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation), t(a, b) AS (SELECT a, b FROM e WHERE a < 5 UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, b FROM t"),
     "frame_chain": (frame_chain, "SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag"),
     "frame_sets": (frame_sets, """WITH a AS (SELECT p_size AS k FROM part), b AS (SELECT n_nationkey AS k FROM nation), s AS (
         SELECT 'u' AS op, k FROM (SELECT k FROM a UNION ALL SELECT k FROM b) UNION ALL SELECT 'ud', k FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'i', k FROM (SELECT k FROM a INTERSECT ALL SELECT k FROM b)

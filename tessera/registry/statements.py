@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
 import asyncio
-import tempfile
-import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,13 +11,13 @@ from pyspark.sql.functions import udtf
 
 from tessera.functions import udf
 from tessera.registry import session
+from tessera.sources import scratch
 from tessera.sources.parquet_info import parquet_metadata
 from tessera.streaming import queries as streaming
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
+    return scratch.folder(spark, "io")
 
 
 def _round_trip(form: str, options: str = "", columns: str = "p_partkey, p_name, p_size, p_retailprice"):
@@ -94,6 +93,51 @@ def variables(spark, sf_dir):
     return s.sql("SELECT p_partkey FROM part WHERE p_size > @limit").df
 
 
+def placeholders_in_texts(spark, sf_dir):
+    """Variables and placeholders are tokens: what looks like one inside a text stays."""
+    s = session(spark, sf_dir)
+    s.register_variable("@limit", 30)
+    s.sql("PREPARE q(INT) AS SELECT p_partkey, 'cost $1, mail@limit.org' AS t FROM part WHERE p_size > $1 AND p_size > @limit")
+    return s.sql("EXECUTE q(20)").df
+
+
+def stored_rows(spark, sf_dir):
+    """CREATE TABLE AS keeps the rows of its time."""
+    s = session(spark, sf_dir)
+    s.sql("CREATE TABLE source AS SELECT r_regionkey AS k FROM region")
+    s.sql("CREATE TABLE copied AS SELECT * FROM source")
+    s.sql("INSERT INTO source VALUES (77)")
+    return s.sql("SELECT k, 'copied' AS t FROM copied UNION ALL SELECT k, 'source' FROM source").df
+
+
+def copy_appends(spark, sf_dir):
+    """COPY adds files; what the folder holds stays."""
+    s, path = session(spark, sf_dir), f"{_folder(spark)}/t"
+    for part in ("r_regionkey < 2", "r_regionkey >= 2"):
+        s.sql(f"COPY (SELECT r_regionkey FROM region WHERE {part}) TO '{path}' STORED AS PARQUET")
+    return s.read_parquet(path).df
+
+
+def unbounded_table(spark, sf_dir):
+    """CREATE UNBOUNDED EXTERNAL TABLE over CSV with a declared order, aggregated as a stream."""
+    s, path = session(spark, sf_dir), f"{_folder(spark)}/t"
+    s.table("nation").write_csv(path)
+    s.sql(f"CREATE UNBOUNDED EXTERNAL TABLE coming (n_nationkey INT, n_name VARCHAR, n_regionkey INT) STORED AS CSV OPTIONS ('format.has_header' 'true') LOCATION '{path}'")
+    return streaming.run_available(s.sql("SELECT n_regionkey, count(*) AS n FROM coming GROUP BY n_regionkey").df)
+
+
+def show_tables(spark, sf_dir):
+    s = session(spark, sf_dir)
+    s.table("nation"), s.table("region")
+    return s.sql("SHOW TABLES").filter("table_name IN ('nation', 'region')").select("table_name").df
+
+
+def show_columns(spark, sf_dir):
+    s = session(spark, sf_dir)
+    s.table("nation")
+    return s.sql("SHOW COLUMNS FROM nation").select("column_name").df
+
+
 def show_settings(spark, sf_dir):
     s = session(spark, sf_dir)
     s.sql("SET tessera.execution.time_zone = 'UTC'")
@@ -159,10 +203,31 @@ def aggregate_function(spark, sf_dir):
     return s.table("part").df.groupBy("p_brand").agg(F.round(span("p_retailprice"), 4).alias("v"))
 
 
+class GeometricMean(udf.Merging):
+    """A user aggregate with a state of its own: count and sum of logarithms."""
+
+    def zero(self):
+        return 0, 0.0
+
+    def update(self, state, values):
+        v = values.iloc[:, 0].dropna()
+        return state[0] + len(v), state[1] + float(np.log(v).sum())
+
+    def merge(self, a, b):
+        return a[0] + b[0], a[1] + b[1]
+
+    def evaluate(self, state):
+        return float(np.exp(state[1] / state[0])) if state[0] else None
+
+
 def mergeable_aggregate(spark, sf_dir):
-    """A user aggregate that merges partial states in the JVM: geometric mean from sums of logarithms."""
     s = session(spark, sf_dir)
-    return s.sql("SELECT p_brand, round(exp(sum(ln(p_retailprice)) / count(*)), 4) AS v FROM part GROUP BY p_brand").df
+    return s.table("part").aggregate_merging(["p_brand"], ["p_retailprice"], GeometricMean(), "v", "double").select("p_brand", "round(v, 4) AS v").df
+
+
+def mergeable_global(spark, sf_dir):
+    s = session(spark, sf_dir)
+    return s.table("lineitem").aggregate_merging([], ["l_extendedprice"], GeometricMean(), "v", "double").select("round(v, 4) AS v").df
 
 
 def window_function(spark, sf_dir):
@@ -200,17 +265,17 @@ def _events(spark, sf_dir):
 
 def stream_tumbling(spark, sf_dir):
     agg = streaming.tumbling(_events(spark, sf_dir), "ts", "1 hour", "10 minutes", ["event_type"], F.count("*").alias("n"))
-    return streaming.run_available(agg.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n"))
+    return streaming.run_available(agg.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n"), "append")
 
 
 def stream_sliding(spark, sf_dir):
     agg = streaming.sliding(_events(spark, sf_dir), "ts", "2 hours", "1 hour", "10 minutes", [], F.count("*").alias("n"))
-    return streaming.run_available(agg.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n"))
+    return streaming.run_available(agg.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), "append")
 
 
 def stream_sessions(spark, sf_dir):
     agg = streaming.sessions(_events(spark, sf_dir), "ts", "30 minutes", "10 minutes", ["user_id"], F.count("*").alias("n"))
-    return streaming.run_available(agg.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n"))
+    return streaming.run_available(agg.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n"), "append")
 
 
 def stream_dedup(spark, sf_dir):
@@ -251,6 +316,12 @@ ALL = {
     "stmt_prepare": (prepared, "SELECT p_partkey FROM part WHERE p_size > 30 AND p_brand <> 'Brand#11'"),
     "stmt_parameters": (parameters, "SELECT p_partkey FROM part WHERE p_size > 30 AND p_name LIKE 'a%'"),
     "stmt_variables": (variables, "SELECT p_partkey FROM part WHERE p_size > 30"),
+    "stmt_placeholders_in_texts": (placeholders_in_texts, "SELECT p_partkey, 'cost $1, mail@limit.org' AS t FROM part WHERE p_size > 30"),
+    "stmt_stored_rows": (stored_rows, "SELECT r_regionkey AS k, 'copied' AS t FROM region UNION ALL SELECT r_regionkey, 'source' FROM region UNION ALL SELECT 77, 'source'"),
+    "io_copy_appends": (copy_appends, "SELECT r_regionkey FROM region"),
+    "stream_unbounded_table": (unbounded_table, "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey"),
+    "stmt_show_tables": (show_tables, "SELECT unnest(['nation', 'region']) AS table_name"),
+    "stmt_show_columns": (show_columns, "SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS column_name"),
     "stmt_show": (show_settings, "SELECT 'UTC' AS value"),
     "stmt_information_schema": (information_schema, "SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS column_name, CAST(unnest([0, 1, 2, 3, 4, 5]) AS INT) AS ordinal_position"),
     "stmt_describe": (describe_table, "SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS column_name"),
@@ -261,11 +332,12 @@ ALL = {
     "udf_async": (async_function, "SELECT p_partkey, p_partkey + 1 AS v FROM part"),
     "udf_aggregate": (aggregate_function, "SELECT p_brand, round(max(p_retailprice) - min(p_retailprice), 4) AS v FROM part GROUP BY p_brand"),
     "udf_aggregate_mergeable": (mergeable_aggregate, "SELECT p_brand, round(exp(sum(ln(p_retailprice)) / count(*)), 4) AS v FROM part GROUP BY p_brand"),
+    "udf_aggregate_mergeable_global": (mergeable_global, "SELECT round(exp(sum(ln(l_extendedprice)) / count(*)), 4) AS v FROM lineitem"),
     "udf_window": (window_function, "SELECT p_partkey, max(p_retailprice) OVER (PARTITION BY p_brand) AS v FROM part"),
     "udf_table": (table_function, "SELECT CAST(range AS INT) AS n, CAST(range * range AS INT) AS square FROM range(1, 12)"),
-    "stream_tumbling": (stream_tumbling, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
-    "stream_sliding": (stream_sliding, "SELECT start, count(*) AS n FROM (SELECT date_trunc('hour', ts) - to_hours(CAST(h AS INT)) AS start FROM events, range(0, 2) r(h)) GROUP BY start"),
-    "stream_sessions": (stream_sessions, "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"),
+    "stream_tumbling": (stream_tumbling, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"),
+    "stream_sliding": (stream_sliding, "SELECT start, count(*) AS n FROM (SELECT date_trunc('hour', ts) - to_hours(CAST(h AS INT)) AS start FROM events, range(0, 2) r(h)) GROUP BY start HAVING start + INTERVAL 2 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"),
+    "stream_sessions": (stream_sessions, "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT event_id FROM events"),
     "stream_interval_join": (stream_join, "SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '6 hours'"),
     "stream_running_count": (stream_running, "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.frame import Frame
 from tessera.operators import relational
 from tessera.plans import dialect
-from tessera.sources import files
+from tessera.sources import files, scratch
 
 #: Settings that the engine's semantics and large clusters call for; a value the user set stays, but for the
 #: type that TIMESTAMP stands for, which the dialect relies on.
@@ -35,7 +36,6 @@ OPTIONS = {
     "optimizer.enable_dynamic_filter_pushdown": "spark.sql.optimizer.dynamicPartitionPruning.enabled",
 }
 _INVERTED = {"optimizer.prefer_hash_join"}
-_INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
 
 
 class Session:
@@ -146,9 +146,10 @@ class Session:
     # -- functions ----------------------------------------------------------------------------
 
     def register_udf(self, name: str, function: Callable) -> None:
-        """A scalar or aggregate pandas function, or a table function."""
-        if hasattr(function, "evalType") or hasattr(function, "_judf") or callable(function) and not hasattr(function, "eval"):
-            self.spark.udf.register(name, function)
+        """A scalar or aggregate function."""
+        if hasattr(function, "eval"):
+            raise TypeError("table functions go to register_udtf")
+        self.spark.udf.register(name, function)
 
     register_udaf = register_udwf = register_udf
 
@@ -163,27 +164,44 @@ class Session:
 
     # -- SQL ----------------------------------------------------------------------------------
 
-    def integral_names(self) -> set[str]:
-        """Columns that hold integers wherever they occur among the registered tables."""
-        seen: dict[str, set[bool]] = {}
-        for view in self._views:
-            for name, kind in self.spark.table(view).dtypes:
-                seen.setdefault(name.lower(), set()).add(kind in _INTEGRAL)
-        return {n for n, kinds in seen.items() if kinds == {True}}
-
-    def translated(self, sql: str) -> str:
-        for name, value in self._variables.items():
-            sql = re.sub(rf"@+{re.escape(name)}\b", _literal(value), sql)
-        text = dialect.translate(sql, self.integral_names())
+    def _ready(self, text: str) -> None:
         if "tessera_digest(" in text and not self._digest:
             from tessera.functions.udf import digest_function
 
             self.spark.udf.register("tessera_digest", digest_function())
             self._digest = True
+
+    def _values(self, sql: str) -> dict[str, str]:
+        return {at + name: _literal(value) for name, value in self._variables.items() for at in ("@", "@@")}
+
+    def columns_of(self, source: str) -> list[str] | None:
+        """Column names of a FROM clause in Spark SQL, or None where it can't stand alone."""
+        from pyspark.errors import AnalysisException, ParseException
+
+        try:
+            return self.spark.sql(f"SELECT * {source}").columns
+        except (AnalysisException, ParseException):
+            return None
+
+    def translated(self, sql: str, args: dict | None = None, values: dict[str, str] | None = None) -> str:
+        values = self._values(sql) | (values or {})
+
+        def plan(text):
+            self._ready(text)
+            return (self.spark.sql(text, args=args) if args else self.spark.sql(text))._jdf.queryExecution().analyzed()
+
+        translate = lambda divisions: dialect.translate(sql, divisions, values, self.columns_of)
+        # statements that do something aren't run to learn their types
+        text = dialect.divided(translate, plan) if re.match(r"\s*(SELECT|WITH|VALUES|FROM|\()", sql, re.I) else translate(None)
+        self._ready(text)
         return text
 
-    def parse_sql_expr(self, text: str):
-        return F.expr(dialect.expression(text, self.integral_names()))
+    def parse_sql_expr(self, text: str, df: DataFrame | None = None):
+        """An expression as a column; with a frame, divisions follow the types of its columns."""
+        values = self._values(text)
+        if df is None:
+            return F.expr(dialect.expression(text, None, values))
+        return dialect.column(text, df, values)
 
     def sql(self, sql: str, params: dict | list | None = None) -> Frame:
         from tessera.plans.statements import run
@@ -200,15 +218,47 @@ class Session:
                 raise PermissionError(f"{first} isn't allowed here")
         return self.sql(sql)
 
-    def query(self, sql: str, params=None) -> DataFrame:
-        """A query (no statement) as a Spark DataFrame."""
+    def query(self, sql: str, params=None, values: dict[str, str] | None = None) -> DataFrame:
+        """A query (no statement) as a Spark DataFrame; ``values`` are texts for placeholders."""
         args = {f"p{k}": v for k, v in (params.items() if isinstance(params, dict) else enumerate(params or [], 1))}
+        recursion = relational.split_recursion(sql)
+        if recursion:
+            return self._recursive(*recursion, params, values)
+        sql = self._united_by_name(sql, params, values)
         parts = relational.split_by_name(sql)
         if parts:
-            return relational.union_by_name_all([(self.query(text, params), distinct) for text, distinct in parts])
-        text = self.translated(sql)
+            return relational.union_by_name_all([(self.query(text, params, values), distinct) for text, distinct in parts])
+        text = self.translated(sql, args, values)
         return self.spark.sql(text, args=args) if args else self.spark.sql(text)
 
+    def _recursive(self, name: str, columns: list[str], seed: str, step: str, rest: str, params, values) -> DataFrame:
+        """Recursion with UNION: the step sees the rows that were new in the last round under the name."""
+        first = self.query(seed, params, values)
+        first = first.toDF(*columns) if columns else first
+
+        def made(new: DataFrame) -> DataFrame:
+            new.createOrReplaceTempView(name)
+            return self.query(step, params, values)
+
+        relational.fixpoint(first, made, scratch.folder(self.spark, "recursion")).createOrReplaceTempView(name)
+        return self.query(rest, params, values)
+
+    def _united_by_name(self, sql: str, params, values) -> str:
+        """Brackets that hold a UNION BY NAME become views of their own; they see the WITH queries before them."""
+        while True:
+            span = _bracket_by_name(sql)
+            if span is None:
+                return sql
+            start, end = span
+            before = re.match(r"\s*WITH\b", sql, re.I)
+            # the common table expressions that are whole before the bracket
+            head = re.sub(r",?\s*\w+\s*(?:\([^()]*\))?\s+AS\s*$", "", sql[:start], flags=re.I) if before else ""
+            known = head if before and head.strip().upper() != "WITH" and head.count("(") == head.count(")") and head != sql[:start] else ""
+            inside = [(f"{known} {text}", distinct) for text, distinct in relational.split_by_name(sql[start + 1 : end])]
+            view = f"__united_{uuid.uuid4().hex[:12]}"
+            relational.union_by_name_all([(self.query(text, params, values), distinct) for text, distinct in inside]).createOrReplaceTempView(view)
+            sql = f"{sql[: start + 1]}SELECT * FROM {view}{sql[end:]}"
+
     def set_option(self, key: str, value: str) -> None:
         name = key if key in OPTIONS else key.split(".", 1)[-1]
         target = OPTIONS.get(name, key)
@@ -233,3 +283,18 @@ def _literal(value) -> str:
     if isinstance(value, bool):
         return str(value).upper()
     return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+
+
+def _bracket_by_name(sql: str) -> tuple[int, int] | None:
+    """The innermost brackets that hold a UNION BY NAME of their own."""
+    open_: list[tuple[int, bool]] = []
+    for m in re.finditer(r"'(?:[^']|'')*'|\"[^\"]*\"|[()]|\bUNION(?:\s+ALL)?\s+BY\s+NAME\b", sql, re.I):
+        if m[0] == "(":
+            open_.append((m.start(), False))
+        elif m[0] == ")":
+            start, found = open_.pop() if open_ else (0, False)
+            if found:
+                return start, m.start()
+        elif m[0][0] not in "'\"" and open_:
+            open_[-1] = (open_[-1][0], True)
+    return None

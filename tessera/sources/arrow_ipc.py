@@ -102,10 +102,10 @@ def read_arrow(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def write_arrow(df: DataFrame, path: str) -> int:
+def write_arrow(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     from pyspark.sql import Observation
 
     df.sparkSession.dataSource.register(ArrowSource)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("arrow_ipc").mode("overwrite").save(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("arrow_ipc").mode(mode).save(path)
     return seen.get["n"]

@@ -35,8 +35,10 @@ def read(spark: SparkSession, path: str, form: str | None = None, schema: str |
         if not schema:
             reader = reader.option("inferSchema", "true")
         limit = int(options.pop("schema_infer_max_rec", 0) or 0)
-        if limit:
-            reader = reader.option("samplingRatio", "1.0")
+        if limit and not schema:  # names and types from the first rows alone
+            first = spark.createDataFrame(spark.read.text(path).limit(limit + 1).collect(), "value string")
+            guess = spark.read.option("inferSchema", "true").options(**{CSV.get(k, k): v for k, v in options.items() if k != "compression"})
+            reader = reader.schema(guess.csv(first).schema)
     if form == "parquet" and not schema:
         reader = reader.option("mergeSchema", str(options.pop("merge_schema", "false")))
     for key, value in options.items():
@@ -57,7 +59,7 @@ def write(df: DataFrame, path: str, form: str, partition_by: list[str] | None =
     if form == "arrow":
         from tessera.sources.arrow_ipc import write_arrow
 
-        return write_arrow(df, path)
+        return write_arrow(df, path, mode)
     seen = Observation()
     writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.format(form).mode(mode)
     if form == "parquet":

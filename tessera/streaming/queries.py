@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import folder
+
 
 def stream(spark: SparkSession, path: str, form: str = "parquet", schema: str | None = None, **options) -> DataFrame:
     """Files of a folder as they arrive; without a schema, that of the files present."""
@@ -65,8 +65,7 @@ def running_count(df: DataFrame, key: str) -> DataFrame:
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return folder(spark, "stream")
 
 
 def to_files(df: DataFrame, path: str, form: str = "parquet") -> None:

@@ -203,3 +203,48 @@ def test_stands_alone(tmp_path):
             (tmp_path / "copy" / gone).unlink(missing_ok=True)
         done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=300)
         assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_digests(s):
+    import hashlib
+
+    for name in ("sha224", "sha384", "sha512", "blake2b", "blake2s", "md5", "sha256"):
+        for text in ("", "abc", "é" * 300):
+            got = s.sql(f"SELECT encode(digest('{text}', '{name}'), 'hex') AS v").df.head().v
+            assert got == hashlib.new(name, text.encode()).hexdigest(), name
+    for name in ("sha224", "sha384", "sha512"):
+        assert s.sql(f"SELECT encode({name}('abc'), 'hex') AS v").df.head().v == hashlib.new(name, b"abc").hexdigest()
+
+
+def test_division_follows_types(s, spark):
+    """The type decides, whatever other tables hold under the same name."""
+    s.register_table("whole", spark.createDataFrame([(7,)], "k int"))
+    assert s.sql("SELECT k / 2 AS v FROM whole").df.head().v == 3
+    s.register_table("parts", spark.createDataFrame([(7.0,)], "k double"))
+    assert s.sql("SELECT k / 2 AS v FROM whole").df.head().v == 3
+    assert tuple(s.sql("SELECT a.k / 2 AS v, b.k / 2 AS w FROM whole a, parts b").df.head()) == (3, 3.5)
+    assert sorted(r.v for r in s.sql("SELECT k / 2 AS v FROM whole UNION ALL SELECT k / 2 FROM parts").df.collect()) == [3.0, 3.5]
+    assert s.table("whole").select("k / 2 AS v").df.head().v == 3
+
+
+def test_wildcards_in_place(s):
+    assert s.sql("SELECT * REPLACE (upper(n_name) AS n_name) FROM nation").df.columns == ["n_nationkey", "n_name", "n_regionkey"]
+    assert s.sql("SELECT * ILIKE '%KEY' FROM nation").df.columns == ["n_nationkey", "n_regionkey"]
+
+
+def test_parts_and_streams(s):
+    f = s.table("nation").repartition(3)
+    streamed = [sum(1 for _ in rows) for rows in f.execute_stream_partitioned()]
+    assert sum(streamed) == f.count() and len(streamed) <= 3
+    assert f.coalesce(1).df.rdd.getNumPartitions() == 1 and f.into_parts()[0] is s
+    with pytest.raises(TypeError):
+        s.register_udf("x", type("T", (), {"eval": lambda self: None})())
+
+
+def test_merging_aggregate_with_null_keys(spark):
+    from tessera.frame import Frame
+    from tessera.registry.statements import GeometricMean
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 4.0), (None, 9.0), (None, None), ("b", None)], "k string, v double").repartition(3)
+    got = {r.k: r.g for r in Frame(df).aggregate_merging(["k"], ["v"], GeometricMean(), "g", "double").df.collect()}
+    assert got == {"a": pytest.approx(2.0), None: pytest.approx(9.0), "b": None}
