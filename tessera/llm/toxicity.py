@@ -7,8 +7,8 @@ or the end of a word.  One Viterbi search under the language model, of a cost li
 restores the likeliest spelling and decides the words.  A logistic model over the presence of restored
 words and their beginnings then scores the text.  It is fitted on at most ``FIT_ROWS`` labelled ids
 (those with the smallest hash), one text each: a documented bound.  Its features are all those that
-``LEAST_SUPPORT`` of these texts hold and that tell the classes apart by ``LEAST_WEIGHT``; language-model
-counts and scores cover every document.
+``LEAST_SUPPORT`` of these texts hold and that tell the classes apart by ``LEAST_WEIGHT`` and ``LEAST_RATIO``
+(log-likelihood ratio, weighted by support and plain); language-model counts and scores cover every document.
 
 Cases: a null or empty text has the score of a text without any known sign; a null id stays null; very
 long texts, words and rows of letters are restored and scored whole; rows of one id with different texts
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches, id_and_text, work_dir, written
 
 FIT_ROWS = 20_000
-LEAST_SUPPORT, LEAST_WEIGHT = 4, 7.0
+LEAST_SUPPORT, LEAST_WEIGHT, LEAST_RATIO = 4, 7.0, 1.0
 THRESHOLD = 0.3
 CACHE_WORDS, CACHE_LENGTH = 300_000, 64
 
@@ -237,7 +237,7 @@ def fit(rows: DataFrame, labels: DataFrame, folder: str, id_col: str = "doc_id",
     # the features that tell the classes apart, by the smoothed log-likelihood ratio of their presence
     by = marked.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(F.lit(1) - F.col("y")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_SUPPORT)
     ratio = F.log(((F.col("a") + 0.5) / (p + 1)) / ((F.col("b") + 0.5) / (n - p + 1)))
-    telling = by.where(F.abs(ratio) * F.sqrt(F.col("a") + F.col("b")) >= LEAST_WEIGHT).select("f").orderBy("f")
+    telling = by.where((F.abs(ratio) >= LEAST_RATIO) & (F.abs(ratio) * F.sqrt(F.col("a") + F.col("b")) >= LEAST_WEIGHT)).select("f").orderBy("f")
     best = [r["f"] for r in telling.collect()]  # features of FIT_ROWS texts
     number = spark.sparkContext.broadcast({f: i for i, f in enumerate(best)})
 
@@ -256,7 +256,7 @@ def fit(rows: DataFrame, labels: DataFrame, folder: str, id_col: str = "doc_id",
     return lm, {f: float(w) for f, w in zip(best, weights) if abs(w) > 1e-3}, intercept
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, penalty: float = 1.0, rounds: int = 50, enough: float = 1e-4) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, penalty: float = 3.0, rounds: int = 50, enough: float = 1e-4) -> tuple[np.ndarray, float]:
     """Ridge-penalised logistic regression on binary features, the intercept free: weights and intercept.
 
     Newton's method, each step by conjugate gradients and halved while it leads uphill, until no part of
@@ -297,7 +297,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, pena
             left -= far * bent
             near = left / scale
             size, before = left @ near, size
-            if size < 1e-6 * first:
+            if size < 1e-4 * first:
                 break
             way = near + size / before * way
         now, pace = loss(w, z), 1.0

@@ -100,11 +100,12 @@ def test_scores_by_brute_force(spark):
     names = []
     for f in sorted(set().union(*found)):
         a, b = sum(y for x, y in train if f in x), sum(1 - y for x, y in train if f in x)
-        if a + b >= tox.LEAST_SUPPORT and abs(math.log(((a + 0.5) / (p + 1)) / ((b + 0.5) / (n - p + 1)))) * math.sqrt(a + b) >= tox.LEAST_WEIGHT:
+        ratio = abs(math.log(((a + 0.5) / (p + 1)) / ((b + 0.5) / (n - p + 1))))
+        if a + b >= tox.LEAST_SUPPORT and ratio >= tox.LEAST_RATIO and ratio * math.sqrt(a + b) >= tox.LEAST_WEIGHT:
             names.append(f)
     assert len(names) > 10
     x = np.array([[1.0] + [f in s for f in names] for s, _ in train])
-    y, w, ridge = np.array([y for _, y in train], float), np.zeros(len(names) + 1), np.diag([0.0] + [1.0] * len(names))
+    y, w, ridge = np.array([y for _, y in train], float), np.zeros(len(names) + 1), np.diag([0.0] + [3.0] * len(names))
     for _ in range(50):
         q = 1 / (1 + np.exp(-x @ w))
         w -= np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + ridge, x.T @ (q - y) + ridge @ w)
