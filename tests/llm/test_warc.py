@@ -53,3 +53,15 @@ def test_revisits(spark, n):
         assert {g[2] for g in got} == {"response", "resolved", "mismatch", "orphan"}
         assert canon["http://A.example/x/?utm_source=f"] == canon["https://www.a.example/x#top"] == "a.example/x"
         assert canon["http://b.example/?ref=1&p=2"].replace("/?", "?") == canon["http://b.example?p=2"]
+
+
+def test_hot_source_and_outlier(spark):
+    """One response that answers most revisits, one time far off, repeated record ids and a very long payload."""
+    data = [(0, "http://h.example:80/", 1, False, {"etag": '"1"'}, "p" * 300_000, 1, "x"), (0, "http://h.example/", 1, False, {"etag": '"1"'}, "p" * 300_000, 1, "x")]
+    data += [(i, "https://H.example/", i, True, {"etag": '"1"', "date": str(i)}, None, 1, "x") for i in range(1, 3000)]
+    data += [(5000, "http://o.example/", 1 << 40, False, None, "far", 1, "x"), (None, "http://o.example/", 7, False, {"etag": '"1"'}, "no id", 1, "x"), (5001, "http://o.example/", 9, True, {"etag": '"1"'}, None, 1, "x")]
+    got = warc.resolve_revisits(spark.createDataFrame(data, SCHEMA)).selectExpr("record_id", "status", "source_id", "length(payload) AS n", "headers['date'] AS d").collect()
+    assert len(got) == len(data)
+    solved = [r for r in got if r.status == "resolved"]
+    assert len(solved) == 2999 and {(r.source_id, r.n) for r in solved} == {(0, 300_000)} and all(r.d == str(r.record_id) for r in solved)
+    assert {r.record_id for r in got if r.status == "orphan"} == {5001}
