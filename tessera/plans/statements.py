@@ -186,10 +186,9 @@ def explained(df: DataFrame, mode: str = "formatted", analyze: bool = False) ->
         rows = df.count()
         lines = [("Plan with Metrics", query.executedPlan().toString()), ("Output Rows", str(rows))]
     elif mode == "json":
-        lines = [("physical_plan", json.dumps(json.loads(query.optimizedPlan().toJSON())))]
+        lines = [("physical_plan", json.dumps([{"Plan": _tree(query.executedPlan())}], indent=2))]
     elif mode == "dot":
-        names = [x.strip(" :+-*()0123456789") for x in query.executedPlan().toString().splitlines()]
-        lines = [("physical_plan", "digraph {" + "".join(f'\n  {i} [label="{n[:60]}"];' for i, n in enumerate(names)) + "".join(f"\n  {i + 1} -> {i};" for i in range(len(names) - 1)) + "\n}")]
+        lines = [("physical_plan", _graph(_tree(query.executedPlan())))]
     else:
         lines = [("logical_plan", query.optimizedPlan().toString()), ("physical_plan", query.executedPlan().toString())]
         if mode == "extended":
@@ -197,6 +196,34 @@ def explained(df: DataFrame, mode: str = "formatted", analyze: bool = False) ->
     return df.sparkSession.createDataFrame(lines, "plan_type string, plan string")
 
 
+def _tree(node) -> dict:
+    """The physical plan as nested nodes, each with its operator, its text and its inputs."""
+    if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return _tree(node.inputPlan())
+    inputs = node.children().iterator()
+    below = []
+    while inputs.hasNext():
+        below.append(_tree(inputs.next()))
+    return {"Node Type": node.nodeName(), "Text": node.simpleString(100)} | ({"Plans": below} if below else {})
+
+
+def _graph(root: dict) -> str:
+    """A graph with an edge from each input to the operator that reads it."""
+    lines, count = ["digraph {"], 0
+
+    def draw(node: dict) -> int:
+        nonlocal count
+        number = count
+        count += 1
+        label = node["Text"][:120].replace("\\", "\\\\").replace('"', '\\"')
+        lines.append(f'  {number} [label="{label}"];')
+        lines.extend(f"  {draw(below)} -> {number};" for below in node.get("Plans", []))
+        return number
+
+    draw(root)
+    return "\n".join([*lines, "}"])
+
+
 # -- information_schema -----------------------------------------------------------------------
 
 

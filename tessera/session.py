@@ -162,6 +162,29 @@ class Session:
     def register_variable(self, name: str, value) -> None:
         self._variables[name.lstrip("@")] = value
 
+    def table_function(self, name: str, *arguments) -> Frame:
+        """A registered table function applied to literals."""
+        return Frame(self.spark.sql(f"SELECT * FROM {name}({', '.join(map(_literal, arguments))})"), self)
+
+    def create_physical_expr(self, text: str, df: DataFrame | Frame):
+        """An expression resolved against a frame, as a column."""
+        return self.parse_sql_expr(text, df.df if isinstance(df, Frame) else df)
+
+    def execute_logical_plan(self, plan) -> Frame:
+        """The frame of a logical plan, such as ``Frame.into_parts`` and ``Frame.logical_plan`` give."""
+        jvm = self.spark._jvm.org.apache.spark.sql.classic.Dataset
+        return Frame(DataFrame(jvm.ofRows(self.spark._jsparkSession, plan), self.spark), self)
+
+    def register_catalog(self, name: str, implementation: str, **options) -> None:
+        """A catalog by the class of its Spark plugin; tables are then called name.schema.table."""
+        self.spark.conf.set(f"spark.sql.catalog.{name}", implementation)
+        for key, value in options.items():
+            self.spark.conf.set(f"spark.sql.catalog.{name}.{key}", value)
+
+    def enable_url_table(self) -> Session:
+        """Paths in quotes stand for tables in every session; here for the sake of the interface."""
+        return self
+
     # -- SQL ----------------------------------------------------------------------------------
 
     def _ready(self, text: str) -> None:

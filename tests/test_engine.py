@@ -248,3 +248,31 @@ def test_merging_aggregate_with_null_keys(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 4.0), (None, 9.0), (None, None), ("b", None)], "k string, v double").repartition(3)
     got = {r.k: r.g for r in Frame(df).aggregate_merging(["k"], ["v"], GeometricMean(), "g", "double").df.collect()}
     assert got == {"a": pytest.approx(2.0), None: pytest.approx(9.0), "b": None}
+
+
+def test_explain_forms(s):
+    import json
+
+    sql = "SELECT a.n_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_nationkey"
+    plan = json.loads(s.sql(f"EXPLAIN FORMAT pgjson {sql}").df.head().plan)[0]["Plan"]
+
+    def nodes(n):
+        return [n, *(x for c in n.get("Plans", []) for x in nodes(c))]
+
+    joins = [n for n in nodes(plan) if "Join" in n["Node Type"]]
+    assert len(joins) == 1 and len(joins[0]["Plans"]) == 2
+    graph = s.sql(f"EXPLAIN FORMAT graphviz {sql}").df.head().plan
+    edges = [line for line in graph.splitlines() if "->" in line]
+    assert len(edges) == len(nodes(plan)) - 1
+    number = next(line.split()[0] for line in graph.splitlines() if "label" in line and "Join" in line.split('"')[1].split()[0])
+    assert sum(line.endswith(f"-> {number};") for line in edges) == 2
+
+
+def test_plans_expressions_and_functions(s, spark):
+    f = s.table("nation").filter("n_nationkey < 3")
+    assert s.execute_logical_plan(f.df._jdf.queryExecution().logical()).count() == 3
+    assert f.df.select(s.create_physical_expr("n_nationkey / 2 AS v", f)).agg({"v": "sum"}).head()[0] == 1
+    assert s.table_function("range", 2, 5).count() == 3
+    assert s.enable_url_table() is s
+    s.register_catalog("own", "org.apache.spark.sql.connector.catalog.InMemoryTableCatalog", kind="x")
+    assert spark.conf.get("spark.sql.catalog.own.kind") == "x"
