@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,23 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+_worker: tuple[str, dict] = ("", {})
+
+
+def worker_cache(owner: str) -> dict:
+    """What ``owner`` keeps in this Python worker from task to task.
+
+    Workers outlive a stage and then serve another operator's: whoever asks first makes the worker let go of what the
+    last one kept, so that the caches of a chain of operators don't add up.
+    """
+    global _worker
+    if _worker[0] != owner:
+        _worker = (owner, {})
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _worker[1]
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator works on, under internal names; a null text counts as empty.
 

@@ -21,6 +21,8 @@ import struct
 
 import numpy as np
 
+from tessera.llm.common import worker_cache
+
 #: Entries of a generation of the cache; two generations are held, which bounds a worker's memory.
 CACHE_SEGMENTS = 250_000
 #: Longer segments are encoded anew each time.
@@ -202,15 +204,13 @@ class SegmentEncoder:
         return b"".join(out)
 
 
-_encoders: dict[str, SegmentEncoder] = {}
-
-
 def encoder(path: str) -> SegmentEncoder:
-    """One encoder to a worker process."""
-    if path not in _encoders:
+    """One encoder to a worker process, until another operator runs there."""
+    held = worker_cache("segments")
+    if path not in held:
         gc.set_threshold(200_000, 20, 100)  # the caches hold no cycles: look for these seldom
-        _encoders[path] = SegmentEncoder(path)
-    return _encoders[path]
+        held[path] = SegmentEncoder(path)
+    return held[path]
 
 
 def encoded_batches(batches, path: str, end_id: int, id_name: str = "_id", text_name: str = "_text", step: int = 500):

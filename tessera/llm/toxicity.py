@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, id_and_text, work_dir, written
+from tessera.llm.common import bounded_batches, id_and_text, work_dir, worker_cache, written
 
 FIT_ROWS = 20_000
 LEAST_SUPPORT, LEAST_WEIGHT, LEAST_RATIO = 4, 7.0, 1.0
 THRESHOLD = 0.3
 CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+#: Rows whose features a worker holds at once.
+MARK_ROWS = 100
 
 #: Alphabet of the language model: 0 a boundary, 1 any other character, then the letters.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêëàâçîïôûùñáíóúœæ"
@@ -61,6 +63,7 @@ _of = {c: i + 2 for i, c in enumerate(LETTERS)} | {" ": 0}
 
 def trigram_counts(texts) -> np.ndarray:
     """Counts of character trigrams, boundaries before and after each text."""
+    worker_cache("toxicity")
     counts = np.zeros(SIZE**3, np.int64)
     for text in texts:
         if not text:
@@ -201,6 +204,25 @@ def _texts(batch, names):
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def _few(batches):
+    """Batches of ``MARK_ROWS`` rows at most: a row has thousands of features."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, MARK_ROWS):
+            yield batch.slice(at, MARK_ROWS)
+
+
+def marks(batches, model: np.ndarray):
+    """id, label and features of the first row of each id, from batches of (_id, _text, y)."""
+    seen: set[int] = set()  # of repeated rows a task reads one; FIT_ROWS ids at most
+    for batch in _few(batches):
+        fresh = []
+        for key, text, y in zip(*_texts(batch, ("_id", "_text", "y"))):
+            if key not in seen:
+                seen.add(key)
+                fresh.append((key, y, sorted({f for w in words_of(text) for f in signs(w, model)})))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in fresh], pa.int64()), pa.array([r[1] for r in fresh], pa.int32()), pa.array([r[2] for r in fresh], pa.list_(pa.string()))], names=["id", "y", "f"])
+
+
 def fit(rows: DataFrame, labels: DataFrame, folder: str, id_col: str = "doc_id", label_col: str = "toxic", trains=None):
     """(language model, weights by feature, intercept) from all texts of (_id, _text) and a bounded labelled sample.
 
@@ -218,17 +240,7 @@ def fit(rows: DataFrame, labels: DataFrame, folder: str, id_col: str = "doc_id",
     chosen = written(chosen, folder, "chosen")
     sample = rows.join(F.broadcast(chosen), (rows["_id"] == chosen["l_id"]) & (F.xxhash64(rows["_text"]) == chosen["l_h"])).select("_id", "_text", "y")
 
-    def mark(batches):
-        seen: set[int] = set()  # of repeated rows a task reads one; FIT_ROWS ids at most
-        for batch in batches:
-            fresh = []
-            for key, text, y in zip(*_texts(batch, ("_id", "_text", "y"))):
-                if key not in seen:
-                    seen.add(key)
-                    fresh.append((key, y, sorted({f for w in words_of(text) for f in signs(w, model.value)})))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in fresh], pa.int64()), pa.array([r[1] for r in fresh], pa.int32()), pa.array([r[2] for r in fresh], pa.list_(pa.string()))], names=["id", "y", "f"])
-
-    marked = written(sample.mapInArrow(mark, "id long, y int, f array<string>").dropDuplicates(["id"]), folder, "marked")
+    marked = written(sample.mapInArrow(lambda batches: marks(batches, model.value), "id long, y int, f array<string>").dropDuplicates(["id"]), folder, "marked")
     total = marked.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).head()
     n, p = total["n"], int(total["p"])
     if not 0 < p < n:
@@ -242,7 +254,7 @@ def fit(rows: DataFrame, labels: DataFrame, folder: str, id_col: str = "doc_id",
     number = spark.sparkContext.broadcast({f: i for i, f in enumerate(best)})
 
     def look_up(batches):
-        for batch in batches:
+        for batch in _few(batches):
             ys, found = _texts(batch, ("y", "f"))
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array([[number.value[f] for f in x if f in number.value] for x in found], pa.list_(pa.int32()))], names=["y", "f"])
 
@@ -309,6 +321,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, pena
 
 def scorer(lm: np.ndarray, weights: dict[str, float], intercept: float):
     """A function from a text to its score, with a bounded cache of words."""
+    worker_cache("toxicity")
     cache: dict[str, tuple[str, ...]] = {}
 
     def score(text: str) -> float:

@@ -5,6 +5,7 @@ import functools
 import hashlib
 import json
 import struct
+import weakref
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, packing, token_files
+from tessera.llm import bpe, packing, segments, token_files, toxicity
 from tessera.llm.segments import SegmentEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +46,14 @@ def test_segments_equal_whole_text(text):
         assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == ref.encode(text, add_special_tokens=False).ids
 
 
+def test_a_worker_holds_one_operators_cache():
+    """Workers are used again by other stages: the encoder's cache goes when another operator begins."""
+    held = weakref.ref(segments.encoder(PATH))
+    assert held() is not None and segments.encoder(PATH) is held()
+    toxicity.trigram_counts(["text"])
+    assert held() is None
+
+
 @pytest.mark.parametrize("which", ["docs", "awkward", "nothing"])
 def test_token_files(request, which):
     df = request.getfixturevalue(which)

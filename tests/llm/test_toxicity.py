@@ -4,9 +4,11 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import toxicity as tox
@@ -147,3 +149,18 @@ def test_awkward(spark, awkward, nothing):
     assert tox.drop_toxic(awkward, labels).columns == awkward.columns
     disguised = spark.createDataFrame([(i, "normal loser text " * 9) for i in range(9)] + [(99, "what a l0ser")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in tox.restored(disguised).collect()}[99] == "what a loser"
+
+
+def test_features_are_held_for_few_rows():
+    """A worker's memory doesn't follow the features of all rows of a batch."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(150)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"_id": [i // 2 for i in range(1000)], "_text": texts, "y": pa.array([1] * 1000, pa.int32())})
+    tracemalloc.start()
+    try:
+        got = [(r.num_rows, r.column("id").to_pylist(), r.column("f").value_lengths().to_pylist()) for r in tox.marks(iter([batch]), LM)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [k for _, keys, _ in got for k in keys] == list(range(500)) and min(n for _, _, c in got for n in c) > 500
+    assert peak < 20e6  # all rows' features take over 30 MB
