@@ -12,23 +12,27 @@ takes these out before it splits).  Other files, and other texts, are encoded wh
 
 from __future__ import annotations
 
-import functools
 import gc
 import json
 import os
 import re
-import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessera.llm.common import worker_cache
 
 #: Entries of a generation of the cache; two generations are held, which bounds a worker's memory.
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 400_000
 #: Longer segments are encoded anew each time.
 CACHE_LENGTH = 48
 #: Characters encoded in one call.
 CALL_CHARS = 100_000
+#: Characters after which texts are encoded together: more find more repeated words, and take more memory.
+STEP_CHARS = 4_000_000
+#: Words of letters that the model gets in one call.
+CALL_WORDS = 500
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Words, runs of marks and single line ends: where a segment is made of these alone, each is a pre-token of its own.
 _PARTS = re.compile(r"[^\W\d_]+|[.,;:!?*#%&$)\"]+|\n(?!\s)")
@@ -64,9 +68,25 @@ def _splits_at_spaces(path: str) -> bool:
     )
 
 
-@functools.cache
-def _packers(n: int, kind: str) -> struct.Struct:
-    return struct.Struct(f"<{n}{kind}")
+def _stand_ins(text: str) -> str:
+    """A text in the byte-level alphabet."""
+    return text.encode().decode("latin-1").translate(_BYTE_CHARS)
+
+
+def _words_apart(tokens: list[str]) -> bool:
+    """Whether no token can lie across the end of a word of letters and the space after it.
+
+    Then the model merges within each of several words in a row what it merges in each alone.
+    """
+    own = {c: bytes([b]) for b, c in _BYTE_CHARS.items()}
+    if not own.keys() <= set(tokens):
+        return False
+    for token in tokens:
+        before, *words = token.split(_SPACE)
+        whole = [b"".join(own.get(c, b"") for c in w).decode("utf-8", "replace") for w in words[:-1]]
+        if words and before or any(w.isalpha() for w in whole):
+            return False
+    return True
 
 
 class SegmentEncoder:
@@ -84,6 +104,7 @@ class SegmentEncoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # a byte-level token has one character to a byte
         self._bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        self._apart = _words_apart(list(self.tokenizer.get_vocab()))
         self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._bare: dict[str, bytes] = {}
@@ -94,6 +115,12 @@ class SegmentEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
+    def _cut(self, words: list[str], ids: np.ndarray, lengths: np.ndarray, known: dict[str, bytes]) -> None:
+        """Give each word its share of the ids of them all, by their lengths in bytes."""
+        cuts = ((np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(lengths)) + 1) * self.dtype.itemsize).tolist()
+        raw = ids.tobytes()
+        known.update(zip(words, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+
     def _together(self, words: list[str], known: dict[str, bytes]) -> None:
         """Encode words, each after a space, in a few calls, and cut the ids where the words end."""
         at, held = 0, 0
@@ -101,61 +128,67 @@ class SegmentEncoder:
             held += len(w) + 1
             if held >= CALL_CHARS or k == len(words) - 1:
                 some, at, held = words[at : k + 1], k + 1, 0
-                ids = self._ids(" " + " ".join(some))
                 lengths = np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in some), np.int64, len(some))
-                cuts = ((np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(lengths + 1)) + 1) * self.dtype.itemsize).tolist()
-                raw, start = ids.tobytes(), 0
-                for word, cut in zip(some, cuts):
-                    known[word] = raw[start:cut]
-                    start = cut
-
-    def _learn(self, segments: set[str]) -> dict[str, bytes]:
-        """Encode segments that follow a space; returns the long ones, which aren't kept."""
+                self._cut(some, self._ids(" " + " ".join(some)), lengths + 1, known)
+
+    def _letters(self, words: list[str], known: dict[str, bytes]) -> None:
+        """Encode words of letters, each after a space and so a pre-token: the model alone is asked, for many at once if it can."""
+        tokenize, step = self.tokenizer.model.tokenize, CALL_WORDS if self._apart else 1
+        for at in range(0, len(words), step):
+            some = words[at : at + step]
+            signs = [w if w.isascii() else _stand_ins(w) for w in some]
+            ids = np.array([t.id for t in tokenize(_SPACE + _SPACE.join(signs))], self.dtype)
+            self._cut(some, ids, np.fromiter(map(len, signs), np.int64, len(signs)) + 1, known)
+
+    def _learn(self, segments: list[str]) -> dict[str, bytes]:
+        """Encode segments that follow a space; returns those that aren't kept: long ones, and words with marks, which are put together."""
         known, old, marks = self._known, self._old, _MARKS
-        seen = segments & old.keys()
-        known.update(zip(seen, map(old.__getitem__, seen)))
-        segments -= seen
-        # a word before marks is encoded once for all of them
-        marked = []
+        fresh, marked, mixed, long_ = set(), [], [], []
         for s in segments:
-            if s[-1] in marks and s[:-1].isalpha() and len(s) <= CACHE_LENGTH:
-                marked.append((s, [s[:-1], s[-1]]))
-            elif not s.isalpha() and len(s) <= CACHE_LENGTH:
+            held = old.get(s)
+            if held is not None:
+                known[s] = held
+            elif len(s) > CACHE_LENGTH:
+                long_.append(s)
+            elif s.isalpha():
+                fresh.add(s)
+            elif s[-1] in marks and s[:-1].isalpha():  # a word before marks is encoded once for all of them
+                marked.append((s, s[:-1], s[-1:]))
+            else:
                 parts = _PARTS.findall(s)
                 if parts and parts[0].isalpha() and "".join(parts) == s:
-                    marked.append((s, parts))
-        fresh = segments.difference([s for s, _ in marked])
-        words = {parts[0] for _, parts in marked}.difference(known, fresh)
-        again = words & old.keys()
-        known.update(zip(again, map(old.__getitem__, again)))
-        fresh |= words - again
-        long_ = {s for s in fresh if len(s) > CACHE_LENGTH}
-        fresh -= long_
-        mixed = [w for w in fresh if not w.isalpha()]
-        fresh.difference_update(mixed)
-        one = self._pre_token
-        for w in fresh:
-            known[w] = one(w, _SPACE)
+                    marked.append((s, parts[0], parts[1:]))
+                else:
+                    mixed.append(s)
+        for _, word, _ in marked:
+            if word not in known:
+                held = old.get(word)
+                if held is None:
+                    fresh.add(word)
+                else:
+                    known[word] = held
+        self._letters(list(fresh), known)
         self._together(mixed, known)
         once: dict[str, bytes] = {}
-        self._together(list(long_), once)
+        self._together(long_, once)
         bare = self._bare
         if len(bare) > CACHE_SEGMENTS:
             bare.clear()
-        for s, (word, *rest) in marked:
+        for s, word, rest in marked:
             out = known[word]
             for p in rest:
                 found = bare.get(p)
                 if found is None:
-                    found = bare[p] = one(p, "") if p.isalpha() else self._ids(p).tobytes()
+                    found = bare[p] = self._first(p)
                 out += found
-            known[s] = out
+            once[s] = out
         return once
 
-    def _pre_token(self, word: str, before: str) -> bytes:
-        """Letters, after a space or not, are one pre-token: the model alone is asked."""
-        ids = [t.id for t in self.tokenizer.model.tokenize(before + word if word.isascii() else before + word.encode().decode("latin-1").translate(_BYTE_CHARS))]
-        return _packers(len(ids), self.dtype.char).pack(*ids)
+    def _first(self, piece: str) -> bytes:
+        """A piece that no space stands before; letters are one pre-token, for which the model alone is asked."""
+        if not piece.isalpha():
+            return self._ids(piece).tobytes()
+        return np.array([t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else _stand_ins(piece))], self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.splits:
@@ -167,29 +200,45 @@ class SegmentEncoder:
         return self._in_pieces(texts)
 
     def _in_pieces(self, texts: list[str]) -> list[bytes]:
-        parts = [text.split(" ") for text in texts]
+        """Words are told apart and ids put together in arrays; only distinct words are looked up."""
+        if not texts:
+            return []
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words, bounds = parts.values, parts.offsets.to_numpy()
+        inner = np.ones(len(words), bool)
+        inner[bounds[:-1]] = False
+        firsts = words.take(pa.array(bounds[:-1])).to_pylist()
+        rest = words.filter(pa.array(inner)).dictionary_encode()
+        index, distinct = rest.indices.to_numpy(), rest.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self._known
-        unknown = set().union(*parts).difference(known) if parts else set()
-        odd = {w for w in unknown if w.strip() != w or not w}
-        once = self._learn(unknown - odd if odd else unknown)
-        out = []
-        for text, rest in zip(texts, parts):
-            first = rest[0]
-            if odd and not odd.isdisjoint(rest):
-                if rest == [""]:
-                    out.append(b"")
-                elif first in odd and first and not first[-1].isspace() and odd.isdisjoint(rest[1:]):
-                    out.append(self._ids(first).tobytes() + b"".join([once[w] if w in once else known[w] for w in rest[1:]]))
-                else:
-                    out.append(self._with_runs(text, once))
-                continue
-            rest[0] = ""
-            known[""] = self._ids(first).tobytes()
-            try:
-                out.append(b"".join(map(known.__getitem__, rest)))
-            except KeyError:
-                out.append(b"".join([once[w] if w in once else known[w] for w in rest]))
-        known.pop("", None)
+        found = list(map(known.get, distinct))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        odd = [i for i in missing if not (w := distinct[i]) or w.strip() != w]
+        for i in odd:
+            found[i] = b""
+        missing = [i for i in missing if found[i] is None]
+        once = self._learn([distinct[i] for i in missing])
+        for i in missing:
+            word = distinct[i]
+            found[i] = once[word] if word in once else known[word]
+        # texts with white space besides single spaces between words
+        runs = {k for k, w in enumerate(firsts) if not w or w[-1].isspace()}
+        if odd:
+            strange = np.zeros(len(distinct), bool)
+            strange[odd] = True
+            runs.update(np.unique(np.searchsorted(bounds, np.flatnonzero(inner)[strange[index]], "right") - 1).tolist())
+        found += [b"" if k in runs else self._first(w) for k, w in enumerate(firsts)]
+        entry = np.empty(len(words), np.int32)
+        entry[inner] = index
+        entry[bounds[:-1]] = len(distinct) + np.arange(len(texts))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        flat, begin, n = np.frombuffer(b"".join(found), self.dtype), np.cumsum(size) - size, size[entry]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        raw = flat[np.repeat((begin[entry] - ends + n).astype(kind), n) + np.arange(total, dtype=kind)].tobytes()
+        cuts = (np.concatenate([[0], ends])[bounds] * self.dtype.itemsize).tolist()
+        out = [self._with_runs(t, once) if k in runs else raw[a:b] for k, (t, a, b) in enumerate(zip(texts, cuts, cuts[1:]))]
         if len(known) > CACHE_SEGMENTS:
             self._old, self._known = known, {}
         return out
@@ -197,6 +246,8 @@ class SegmentEncoder:
     def _with_runs(self, text: str, once: dict[str, bytes]) -> bytes:
         """A text with runs of white space: only single spaces between words are cut at."""
         out, known = [], self._known
+        if not text:
+            return b""
         for piece in _CUT.split(text):
             word = piece[1:] if piece[:1] == " " else ""
             found = (known.get(word) or once.get(word)) if word else None
@@ -213,13 +264,15 @@ def encoder(path: str) -> SegmentEncoder:
     return held[path]
 
 
-def encoded_batches(batches, path: str, end_id: int, id_name: str = "_id", text_name: str = "_text", step: int = 500):
-    """(ids of rows, encoder, encoded texts with the end id) for each few hundred rows of Arrow batches."""
+def encoded_batches(batches, path: str, end_id: int, id_name: str = "_id", text_name: str = "_text", most: int = STEP_CHARS):
+    """(ids of rows, encoder, encoded texts with the end id) for rows of Arrow batches, some ``most`` characters at a time."""
     enc = encoder(path)
     end = enc.one(end_id)
     for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            texts = part.column(part.schema.get_field_index(text_name)).to_pylist()
-            keys = part.column(part.schema.get_field_index(id_name)).to_pylist()
-            yield keys, enc, [x + end for x in enc.encode(texts)]
+        keys, texts = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (id_name, text_name))
+        at = held = 0
+        for k, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= most or k == len(texts):
+                yield keys[at:k], enc, [x + end for x in enc.encode(texts[at:k])]
+                at, held = k, 0

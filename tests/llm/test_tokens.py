@@ -46,6 +46,49 @@ def test_segments_equal_whole_text(text):
         assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == ref.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab é.,\n")), max_size=20), max_size=12))
+def test_many_texts_at_once(texts):
+    enc, ref = encoders()
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [ref.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+class Counting:
+    """A tokenizer that counts the characters it is given to encode."""
+
+    def __init__(self, inner):
+        self.inner, self.chars, self.model = inner, 0, self
+
+    def encode(self, text, **how):
+        self.chars += len(text)
+        return self.inner.encode(text, **how)
+
+    def tokenize(self, text):
+        self.chars += len(text)
+        return self.inner.model.tokenize(text)
+
+
+def test_words_with_marks_leave_room_for_words(monkeypatch):
+    """Repeated words are encoded once, whatever marks follow them, as long as the words alone fit the cache."""
+    monkeypatch.setattr(segments, "CACHE_SEGMENTS", 1000)
+    enc, ref = SegmentEncoder(PATH), plain()
+    enc.tokenizer = count = Counting(ref)
+    letters = "abcdefghijklmnopqrst"
+    halves = [[f"w{x}{a}{b}" for a in letters for b in letters] for x in "kq"]
+    for words in halves * 3:
+        for mark in ",.!?;":
+            text = "A " + " ".join(w + mark for w in words)
+            assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == ref.encode(text, add_special_tokens=False).ids
+    assert count.chars < 1.2 * sum(len(w) + 1 for words in halves for w in words)
+
+
+def test_words_apart():
+    """Words are given to the model together only where no token can lie across two."""
+    assert encoders()[0]._apart
+    tokens = list(plain().get_vocab())
+    assert not segments._words_apart([*tokens, "oĠw"]) and not segments._words_apart([*tokens, "ĠaĠ"]) and not segments._words_apart([t for t in tokens if t != "a"])
+
+
 def test_a_worker_holds_one_operators_cache():
     """Workers are used again by other stages: the encoder's cache goes when another operator begins."""
     held = weakref.ref(segments.encoder(PATH))
