@@ -4,6 +4,9 @@ The pre-tokenizer of a byte-level BPE file never lets a token cross a place wher
 stands between two characters that aren't white space: words, numbers and punctuation runs hold no
 space but an optional leading one.  A text may therefore be cut before each such space, the pieces
 encoded one by one with the library and the ids concatenated, and repeated pieces encoded once.
+Nor does a token cross the places between a letter or digit and punctuation (but for what follows an
+apostrophe, as in "it's"), or those around a line end that stands alone between other characters: the
+segments between spaces are cut there as well, so that words are known whatever marks stand beside them.
 
 This holds for files whose only pre-tokenizer is the byte-level one with its pattern and without a
 leading space, without a normaliser, and for texts without the string of an added token (the library
@@ -32,12 +35,13 @@ CALL_CHARS = 100_000
 #: Characters after which texts are encoded together: more find more repeated words, and take more memory.
 STEP_CHARS = 4_000_000
 #: Words of letters that the model gets in one call.
-CALL_WORDS = 500
+CALL_WORDS = 100
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Words, runs of marks and single line ends: where a segment is made of these alone, each is a pre-token of its own.
-_PARTS = re.compile(r"[^\W\d_]+|[.,;:!?*#%&$)\"]+|\n(?!\s)")
-#: Punctuation that is a token sequence of its own between a run of letters and a segment's end.
-_MARKS = frozenset(".,;:!?)\"")
+#: What an ASCII byte is, as far as cuts go (bytes from 0x80 on: none of these).
+_ALNUM, _MARK, _QUOTE, _LINE = 1, 2, 4, 8
+_KIND = np.array([_ALNUM if (c := chr(b)).isalnum() else _QUOTE if c == "'" else _LINE if c == "\n" else _MARK * c.isprintable() * (c != " ") for b in range(128)] + [0] * 128, np.uint8)
+#: Whether the two bytes of a character, five and six bits of them, make a letter.
+_LETTER = np.array([k >= 0x80 and chr(k).isalpha() for k in range(0x800)])
 
 
 def _byte_characters() -> dict[int, str]:
@@ -48,6 +52,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 _BYTE_CHARS = _byte_characters()
+_BYTE_CODES = np.array([ord(_BYTE_CHARS[b]) for b in range(256)], "<u2")
 _SPACE = _BYTE_CHARS[0x20]
 
 
@@ -115,9 +120,10 @@ class SegmentEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def _cut(self, words: list[str], ids: np.ndarray, lengths: np.ndarray, known: dict[str, bytes]) -> None:
-        """Give each word its share of the ids of them all, by their lengths in bytes."""
-        cuts = ((np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(lengths)) + 1) * self.dtype.itemsize).tolist()
+    def _cut(self, words: list[str], ids: np.ndarray, data: np.ndarray, known: dict[str, bytes]) -> None:
+        """Give each word its share of the ids of them all, ``data`` being their bytes, each after a space."""
+        ends = np.append(np.flatnonzero(data[1:] == 0x20) + 1, len(data))
+        cuts = ((np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1) * self.dtype.itemsize).tolist()
         raw = ids.tobytes()
         known.update(zip(words, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
 
@@ -128,22 +134,22 @@ class SegmentEncoder:
             held += len(w) + 1
             if held >= CALL_CHARS or k == len(words) - 1:
                 some, at, held = words[at : k + 1], k + 1, 0
-                lengths = np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in some), np.int64, len(some))
-                self._cut(some, self._ids(" " + " ".join(some)), lengths + 1, known)
+                text = " " + " ".join(some)
+                self._cut(some, self._ids(text), np.frombuffer(text.encode(), np.uint8), known)
 
     def _letters(self, words: list[str], known: dict[str, bytes]) -> None:
         """Encode words of letters, each after a space and so a pre-token: the model alone is asked, for many at once if it can."""
         tokenize, step = self.tokenizer.model.tokenize, CALL_WORDS if self._apart else 1
         for at in range(0, len(words), step):
             some = words[at : at + step]
-            signs = [w if w.isascii() else _stand_ins(w) for w in some]
-            ids = np.array([t.id for t in tokenize(_SPACE + _SPACE.join(signs))], self.dtype)
-            self._cut(some, ids, np.fromiter(map(len, signs), np.int64, len(signs)) + 1, known)
+            data = np.frombuffer((" " + " ".join(some)).encode(), np.uint8)
+            ids = np.array([t.id for t in tokenize(_BYTE_CODES[data].tobytes().decode("utf-16-le"))], self.dtype)
+            self._cut(some, ids, data, known)
 
     def _learn(self, segments: list[str]) -> dict[str, bytes]:
-        """Encode segments that follow a space; returns those that aren't kept: long ones, and words with marks, which are put together."""
-        known, old, marks = self._known, self._old, _MARKS
-        fresh, marked, mixed, long_ = set(), [], [], []
+        """Encode segments that follow a space; returns those that aren't kept: long ones."""
+        known, old = self._known, self._old
+        fresh, mixed, long_ = [], [], []
         for s in segments:
             held = old.get(s)
             if held is not None:
@@ -151,37 +157,22 @@ class SegmentEncoder:
             elif len(s) > CACHE_LENGTH:
                 long_.append(s)
             elif s.isalpha():
-                fresh.add(s)
-            elif s[-1] in marks and s[:-1].isalpha():  # a word before marks is encoded once for all of them
-                marked.append((s, s[:-1], s[-1:]))
+                fresh.append(s)
             else:
-                parts = _PARTS.findall(s)
-                if parts and parts[0].isalpha() and "".join(parts) == s:
-                    marked.append((s, parts[0], parts[1:]))
-                else:
-                    mixed.append(s)
-        for _, word, _ in marked:
-            if word not in known:
-                held = old.get(word)
-                if held is None:
-                    fresh.add(word)
-                else:
-                    known[word] = held
-        self._letters(list(fresh), known)
+                mixed.append(s)
+        self._letters(fresh, known)
         self._together(mixed, known)
         once: dict[str, bytes] = {}
         self._together(long_, once)
-        bare = self._bare
+        return once
+
+    def _learn_bare(self, pieces: list[str]) -> dict[str, bytes]:
+        """Encode pieces that no space stands before; returns those that aren't kept: long ones."""
+        bare, once = self._bare, {}
         if len(bare) > CACHE_SEGMENTS:
             bare.clear()
-        for s, word, rest in marked:
-            out = known[word]
-            for p in rest:
-                found = bare.get(p)
-                if found is None:
-                    found = bare[p] = self._first(p)
-                out += found
-            once[s] = out
+        for p in pieces:
+            (bare if len(p) <= CACHE_LENGTH else once)[p] = self._first(p)
         return once
 
     def _first(self, piece: str) -> bytes:
@@ -200,37 +191,41 @@ class SegmentEncoder:
         return self._in_pieces(texts)
 
     def _in_pieces(self, texts: list[str]) -> list[bytes]:
-        """Words are told apart and ids put together in arrays; only distinct words are looked up."""
+        """Pieces are told apart and ids put together in arrays; only distinct pieces are looked up."""
         if not texts:
             return []
         parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        words, bounds = parts.values, parts.offsets.to_numpy()
-        inner = np.ones(len(words), bool)
-        inner[bounds[:-1]] = False
-        firsts = words.take(pa.array(bounds[:-1])).to_pylist()
-        rest = words.filter(pa.array(inner)).dictionary_encode()
-        index, distinct = rest.indices.to_numpy(), rest.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = self._known
-        found = list(map(known.get, distinct))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        odd = [i for i in missing if not (w := distinct[i]) or w.strip() != w]
-        for i in odd:
-            found[i] = b""
-        missing = [i for i in missing if found[i] is None]
-        once = self._learn([distinct[i] for i in missing])
-        for i in missing:
-            word = distinct[i]
-            found[i] = once[word] if word in once else known[word]
-        # texts with white space besides single spaces between words
-        runs = {k for k, w in enumerate(firsts) if not w or w[-1].isspace()}
+        pieces, first = _cut_at_marks(parts.values)
+        bounds = first[parts.offsets.to_numpy()]
+        spaced = np.zeros(len(pieces), bool)
+        spaced[first[:-1]] = True
+        spaced[bounds[:-1]] = False
+        entry, found, odd, shift = np.empty(len(pieces), np.int32), [], [], 0
+        for mask, learn, known in ((spaced, self._learn, self._known), (~spaced, self._learn_bare, self._bare)):
+            coded = pieces.filter(pa.array(mask)).dictionary_encode()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            entry[mask] = coded.indices.to_numpy() + shift
+            ids = list(map(known.get, distinct))
+            missing = []
+            for i, x in enumerate(ids):
+                if x is None:
+                    w = distinct[i]
+                    if w and w.strip() == w or w == "\n" and known is self._bare:
+                        missing.append(i)
+                    else:
+                        ids[i] = b""
+                        odd.append(shift + i)
+            once = learn([distinct[i] for i in missing])
+            for i in missing:
+                word = distinct[i]
+                ids[i] = once[word] if word in once else known[word]
+            found += ids
+            shift += len(distinct)
+        runs = set()  # texts with white space besides single spaces, and line ends, between words
         if odd:
-            strange = np.zeros(len(distinct), bool)
+            strange = np.zeros(len(found), bool)
             strange[odd] = True
-            runs.update(np.unique(np.searchsorted(bounds, np.flatnonzero(inner)[strange[index]], "right") - 1).tolist())
-        found += [b"" if k in runs else self._first(w) for k, w in enumerate(firsts)]
-        entry = np.empty(len(words), np.int32)
-        entry[inner] = index
-        entry[bounds[:-1]] = len(distinct) + np.arange(len(texts))
+            runs.update(np.unique(np.searchsorted(bounds, np.flatnonzero(strange[entry]), "right") - 1).tolist())
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         flat, begin, n = np.frombuffer(b"".join(found), self.dtype), np.cumsum(size) - size, size[entry]
         ends = np.cumsum(n)
@@ -238,23 +233,65 @@ class SegmentEncoder:
         kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
         raw = flat[np.repeat((begin[entry] - ends + n).astype(kind), n) + np.arange(total, dtype=kind)].tobytes()
         cuts = (np.concatenate([[0], ends])[bounds] * self.dtype.itemsize).tolist()
-        out = [self._with_runs(t, once) if k in runs else raw[a:b] for k, (t, a, b) in enumerate(zip(texts, cuts, cuts[1:]))]
-        if len(known) > CACHE_SEGMENTS:
-            self._old, self._known = known, {}
+        out = [self._with_runs(t) if k in runs else raw[a:b] for k, (t, a, b) in enumerate(zip(texts, cuts, cuts[1:]))]
+        if len(self._known) > CACHE_SEGMENTS:
+            self._old, self._known = self._known, {}
         return out
 
-    def _with_runs(self, text: str, once: dict[str, bytes]) -> bytes:
-        """A text with runs of white space: only single spaces between words are cut at."""
-        out, known = [], self._known
+    def _with_runs(self, text: str) -> bytes:
+        """A text with runs of white space: only single spaces between words, and marks after words there, are cut at."""
+        out, known, bare = [], self._known, self._bare
         if not text:
             return b""
         for piece in _CUT.split(text):
             word = piece[1:] if piece[:1] == " " else ""
-            found = (known.get(word) or once.get(word)) if word else None
+            found = known.get(word) if word else None
+            if found is None and word[-2:-1].isalpha() and word[-1:] in bare and not word[-1].isalnum():
+                before = known.get(word[:-1])
+                found = None if before is None else before + bare[word[-1]]
             out.append(self._ids(piece).tobytes() if found is None else found)
         return b"".join(out)
 
 
+def _cut_at_marks(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Cut words further where a pre-token ends for certain; returns the pieces and the number of each word's first, and of all.
+
+    These places are between a letter or digit and ASCII punctuation, but after an apostrophe, and on both sides of a
+    line end between two characters that surely aren't white space.  Letters are those of one or two bytes: what others
+    are isn't asked, so nothing is cut beside them.
+    """
+    _, offsets, held = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    last = int(ends[-1])
+    data = np.frombuffer(held, np.uint8)[:last] if held else np.empty(0, np.uint8)
+    kinds = _KIND[data]
+    cut = np.zeros(last + 2, bool)
+
+    def letter(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a & 0xE0 == 0xC0) & _LETTER[(a & 31).astype(np.int16) << 6 | b & 63]
+
+    at = np.flatnonzero(kinds > _ALNUM)
+    kind, left, right = kinds[at], np.maximum(at - 1, 0), np.minimum(at + 1, last - 1)
+    # a piece that begins or ends a word has no neighbour there: those places are taken out below
+    word_left = (kinds[left] == _ALNUM) | (data[left] & 0xC0 == 0x80) & letter(data[np.maximum(left - 1, 0)], data[left])
+    word_right = (kinds[right] == _ALNUM) | letter(data[right], data[np.minimum(right + 1, last - 1)])
+    starts = np.zeros(last + 2, bool)
+    starts[ends] = True
+    sign = kind != _LINE
+    cut[at[sign & word_left]] = True
+    cut[at[(kind == _MARK) & word_right] + 1] = True
+    seen = _MARK | _QUOTE
+    alone = ~sign & (word_left | (kinds[left] & seen > 0)) & (word_right | (kinds[right] & seen > 0)) & ~starts[at] & ~starts[at + 1]
+    cut[at[alone]] = cut[at[alone] + 1] = True
+    places = np.flatnonzero(cut & ~starts)
+    owner = np.searchsorted(ends, places, "right") - 1
+    first = np.arange(len(ends)) + np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+    moved = np.empty(len(ends) + len(places), np.int64)
+    moved[first] = ends
+    moved[owner + 1 + np.arange(len(places))] = places
+    return pa.LargeStringArray.from_buffers(len(moved) - 1, pa.py_buffer(moved), held), first
+
+
 def encoder(path: str) -> SegmentEncoder:
     """One encoder to a worker process, until another operator runs there."""
     held = worker_cache("segments")

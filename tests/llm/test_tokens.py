@@ -82,6 +82,26 @@ def test_words_with_marks_leave_room_for_words(monkeypatch):
     assert count.chars < 1.2 * sum(len(w) + 1 for words in halves for w in words)
 
 
+def test_words_are_known_whatever_stands_beside_them():
+    """A word is encoded once after a space and once without, in brackets and quotes, beside line ends and with numbers alike."""
+    enc, ref = SegmentEncoder(PATH), plain()
+    enc.tokenizer = count = Counting(ref)
+    letters = "abcdefghijklmnopqrst"
+    words = [f"wk{a}{b}" for a in letters for b in letters]
+    for form in ("{}", "({})", '"{}",', "{}.\n{}", "{}/{}", "[{}]:", "{}\n{}", "é.{}", "{}'s", "<{}>;", "{}={}"):
+        text = "A " + " ".join(form.format(w, w) for w in words)
+        assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == ref.encode(text, add_special_tokens=False).ids
+    assert count.chars < 2.5 * sum(len(w) + 1 for w in words)
+
+
+def test_cuts_beside_two_byte_characters():
+    """Punctuation and line ends beside each character of two bytes, letter or not, give the library's ids."""
+    enc, ref = encoders()
+    texts = [f"a{c},b {c}. x{c}\nY{c}'s,{c} ({c}{c})!{c}\n\n{c}'{c}  {c}," for c in map(chr, range(0x80, 0x800))]
+    for text, ids in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(ids, enc.dtype).tolist() == ref.encode(text, add_special_tokens=False).ids
+
+
 def test_words_apart():
     """Words are given to the model together only where no token can lie across two."""
     assert encoders()[0]._apart
